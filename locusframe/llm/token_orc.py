@@ -9,6 +9,8 @@ the whole stream needs only one sum per file.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,62 +23,118 @@ from locusframe.llm.scratch import Scratch
 
 STRIPE_BYTES, ROW_STRIDE = 16 << 20, 1000
 #: Distinct space-separated pieces that a worker remembers, and the longest piece remembered.
-MEMO, MEMO_CHARS = 600_000, 40
+MEMO, MEMO_CHARS = 1_000_000, 40
 #: Pieces that share a call.
 GROUP = 128
 #: Encoders of this process: a reused Python worker keeps what it has remembered.
 _encoders: dict = {}
 
 
-class Encoder:
-    """Ids of whole texts with the tokenizers library.
+_SIGNS = (".", ",")
+#: Texts of which str.lower is the tokenizer's own lower-casing and which hold no special token.
+_SIMPLE = re.compile(r"[\x00-;=-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*").fullmatch
+
 
-    With ``memo``, for tokenizers whose pre-tokenizer drops white space: pieces between spaces and newlines
-    encode by themselves, so each distinct piece is encoded once and remembered.  Many pieces go in one call,
-    with a special token between them, which the library splits on before anything else; pieces that hold that
-    token's text are encoded alone.
+class Encoder:
+    """Ids (int32, as bytes) of whole texts with the tokenizers library.
+
+    For a tokenizer that lower-cases, drops white space and splits letters from other signs (``splits``), pieces
+    between spaces and newlines encode by themselves, so each distinct piece is encoded once and remembered; a
+    word with a full stop or comma behind it is the word and the sign.  Many pieces go in one call with a special token
+    between them, which the library splits on before anything else; lower-case ASCII words go through a copy of the
+    tokenizer without normaliser, as that would not change them, and their last tokens carry the mark of a word's
+    end.  Any other tokenizer encodes whole texts.
     """
 
     def __init__(self, path: str, memo: bool = True):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not t.single_word and not t.lstrip and not t.rstrip]
-        self.mark = min(special) if special else None
-        self.memo: dict[str, list[int]] | None = {} if memo else None
-
-    def _pieces(self, pieces: list[str]) -> dict[str, list[int]]:
-        marked = [p for p in pieces if self.mark and self.mark[1] not in p and "<" not in p]
-        out = {}
-        groups = [marked[i : i + GROUP] for i in range(0, len(marked), GROUP)]
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast([self.mark[1].join(g) for g in groups], add_special_tokens=False)):
-            ids, at = found.ids, 0
-            for p in group[:-1]:
-                end = ids.index(self.mark[0], at)
-                out[p] = ids[at:end]
-                at = end + 1
-            out[group[-1]] = ids[at:]
-        rest = [p for p in pieces if p not in out]
-        out.update(zip(rest, (e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))))
+        self.memo: dict[str, bytes] | None = None
+        self.recent: dict[str, bytes] = {}
+        special = [(i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.single_word or t.lstrip or t.rstrip or t.normalized)]
+        if memo and special and splits(json.loads(self.tokenizer.to_str())):
+            self.mark, self.memo = min(special), {}
+            self.plain = Tokenizer.from_file(path)
+            self.plain.normalizer = normalizers.Sequence([])
+            self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def _call(self, tokenizer, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<i4") for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Lower-case ASCII words."""
+        out: dict[str, bytes] = {}
+        groups = [words[i : i + GROUP] for i in range(0, len(words), GROUP)]
+        for group, ids in zip(groups, self._call(self.plain, [" ".join(g) for g in groups])):
+            cuts = [0, *(np.flatnonzero(self.ends[ids]) + 1).tolist()]
+            raw = ids.tobytes()
+            out.update(zip(group, (raw[4 * i : 4 * j] for i, j in zip(cuts, cuts[1:]))))
+        return out
+
+    def _marked(self, pieces: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        fit = [p for p in pieces if "<" not in p]
+        groups = [fit[i : i + GROUP] for i in range(0, len(fit), GROUP)]
+        for group, ids in zip(groups, self._call(self.tokenizer, [self.mark[1].join(g) for g in groups])):
+            cuts = [-1, *np.flatnonzero(ids == self.mark[0]).tolist(), len(ids)]
+            raw = ids.tobytes()
+            out.update(zip(group, (raw[4 * i + 4 : 4 * j] for i, j in zip(cuts, cuts[1:]))))
+        rest = [p for p in pieces if "<" in p]
+        out.update(zip(rest, (ids.tobytes() for ids in self._call(self.tokenizer, rest))))
         return out
 
-    def batch(self, texts: list[str]) -> list[list[int]]:
+    def _learn(self, new: list[str]) -> None:
+        memo, signed, lower, other = self.memo, [], set(), set()
+        for p in new:
+            word = p
+            if p[-1:] in _SIGNS and p[:-1].isalpha():
+                word = p[:-1]
+                signed.append(p)
+                if word in memo:
+                    continue
+            if word.isascii() and word.islower() and word.isalpha():
+                lower.add(word)
+            else:
+                other.add(word)
+        other.update(sign for sign in _SIGNS if sign not in memo)
+        memo.update(self._words(list(lower)))
+        memo.update(self._marked(list(other)))
+        for p in signed:
+            memo[p] = memo[p[:-1]] + memo[p[-1]]
+
+    def batch(self, texts: list[str]) -> list[np.ndarray]:
         if self.memo is None:
-            return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return self._call(self.tokenizer, texts)
         if len(self.memo) > MEMO:
-            self.memo.clear()
+            self.memo, self.recent = self.recent if len(self.recent) <= MEMO // 2 else {}, {}
+        split = [(t.lower() if _SIMPLE(t) else t).replace("\n", " ").split(" ") for t in texts]
+        needed = {p for s in split for p in s}
+        if new := list(needed.difference(self.memo)):
+            self._learn(new)
         memo = self.memo
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({p for s in split for p in s}.difference(memo))
-        fresh = self._pieces(new)
-        memo.update(fresh)
-        out = [[i for p in s for i in memo[p]] for s in split]
-        for p in new:
-            if len(p) > MEMO_CHARS:
-                del memo[p]
-        return out
+        if len(memo) > MEMO // 2:
+            self.recent.update((p, memo[p]) for p in needed if len(p) <= MEMO_CHARS)
+        return [np.frombuffer(b"".join([memo[p] for p in s]), dtype="<i4") for s in split]
+
+
+def splits(config: dict) -> bool:
+    """Whether a tokenizer's configuration is the one that Encoder's piecewise path is made for."""
+    normal = [n["type"] for n in (config.get("normalizer") or {}).get("normalizers", [])]
+    before = (config.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    split = before[0] if before else {}
+    return (
+        normal == ["NFC", "Replace", "Lowercase"]
+        and [p["type"] for p in before] == ["Split", "ByteLevel"]
+        and split["behavior"] == "Removed" and split["invert"]
+        and split["pattern"].get("Regex", "").endswith("|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+")
+        and not before[1]["add_prefix_space"] and not before[1]["use_regex"]
+        and config["model"].get("end_of_word_suffix") == "</w>" and config["model"].get("dropout") is None
+    )
 
 
 def _encode(path: str, end_id: int, memo: bool):
@@ -86,6 +144,7 @@ def _encode(path: str, end_id: int, memo: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encoder, before = _encoders.get((path, memo)) or Encoder(path, memo), 0
         _encoders[path, memo] = encoder
+        end = np.array([end_id], dtype="<i4")
         for batch in batches:
             text, lo = batch.column(1), 0
             while lo < len(batch):
@@ -94,12 +153,12 @@ def _encode(path: str, end_id: int, memo: bool):
                     texts.append(text[hi].as_py() or "")
                     size += len(texts[-1])
                     hi += 1
-                ids = [np.array([*i, end_id], dtype=np.int32) for i in encoder.batch(texts)]
-                sizes = np.array([len(i) for i in ids], dtype=np.int64)
+                ids = [x for i in encoder.batch(texts) for x in (i, end)]
+                sizes = np.array([len(i) + 1 for i in ids[::2]], dtype=np.int64)
                 at = before + np.cumsum(sizes) - sizes
                 before += int(sizes.sum())
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(at), pa.ListArray.from_arrays(offsets, np.concatenate(ids))], ["doc_id", "at", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(at), pa.ListArray.from_arrays(offsets, np.concatenate(ids).astype(np.int32, copy=False))], ["doc_id", "at", "ids"])
                 lo = hi
 
     return run

@@ -14,10 +14,18 @@ MEMO = token_orc.Encoder(PATH)
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.one_of(st.text(), st.sampled_from(["<|startoftext|>", "<|endoftext|>", "it's", "I'LL", "é", "é", " ́", "\x85", " ", "\x1c", "x.", "a<|startoftext|>b", "İ", "Σ"])), max_size=8), st.sampled_from([" ", "\n", "", "  ", "\t"]))
+@given(st.lists(st.one_of(st.text(), st.sampled_from(["<|startoftext|>", "<|endoftext|>", "it's", "I'LL", "é", "é", " ́", "\x85", " ", "\x1c", "x.", "a<|startoftext|>b", "İ", "Σ", "Été.", "NAÏVE,", "ÿ.,", "it.s", "WORD.", "ﬁ", "ſ", "K", "µ", "ß"])), max_size=8), st.sampled_from([" ", "\n", "", "  ", "\t"]))
 def test_pieces_encode_as_whole_texts(parts, by):
     text = by.join(parts)
-    assert MEMO.batch([text, "next", text]) == [WHOLE.encode(t, add_special_tokens=False).ids for t in (text, "next", text)]
+    assert MEMO.memo is not None
+    assert [list(i) for i in MEMO.batch([text, "next", text])] == [WHOLE.encode(t, add_special_tokens=False).ids for t in (text, "next", text)]
+
+
+def test_other_tokenizers_encode_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder = token_orc.Encoder(path)
+    assert encoder.memo is None
+    assert list(encoder.batch([" a b"])[0]) == Tokenizer.from_file(path).encode(" a b", add_special_tokens=False).ids
 
 
 def test_round_trip(spark, tmp_path):
