@@ -27,9 +27,15 @@ def selection(names: list[str], keep: list[str] | None = None, remove: list[str]
 
 def _texts(chosen: list[int] | None) -> Column:
     """GT texts of the chosen samples; null where the key or the sample is absent."""
-    index = v.format_index(F.col("format"), "GT")
-    samples = F.col("samples") if chosen is None else F.array(*[F.get("samples", F.lit(i)) for i in chosen]) if chosen else F.array().cast("array<string>")
-    return F.transform(samples, lambda s: v.sample_value(s, index))
+
+    def read(row: Column) -> Column:
+        if chosen is None:
+            return F.transform(row["samples"], lambda s: v.sample_value(s, row["at"]))
+        places = F.array(*[F.lit(i) for i in chosen]) if chosen else F.array().cast("array<int>")
+        return F.transform(places, lambda i: v.sample_value(F.get(row["samples"], i), row["at"]))
+
+    # samples and the key's place are bound once a row: both come from splitting text
+    return v.let(F.struct("samples", v.format_index(F.col("format"), "GT").alias("at")), read)
 
 
 def with_genotypes(df: DataFrame, chosen: list[int] | None = None) -> DataFrame:

@@ -83,10 +83,10 @@ def diff_counts(a: DataFrame, b: DataFrame, key: str = "chrom-pos-ref-alt") -> D
     return status.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("shared", "only_in_a", "only_in_b")])
 
 
-def export_text(df: DataFrame) -> DataFrame:
-    """The nine columns of a TSV export as text; an absent INFO value is '.'."""
+def export_text(df: DataFrame, *more: str) -> DataFrame:
+    """The nine columns of a TSV export as text, and those named in more; an absent INFO value is '.'."""
     info = lambda k: F.coalesce(v.info_value(F.col("info"), k), F.lit(".")).alias(f"INFO/{k}")
-    return df.select(F.col("chrom").alias("CHROM"), F.col("pos").cast("string").alias("POS"), F.col("id").alias("ID"), F.col("ref").alias("REF"), F.col("alt").alias("ALT"), F.col("qual").alias("QUAL"), F.col("filter").alias("FILTER"), info("DP"), info("AF"))
+    return df.select(F.col("chrom").alias("CHROM"), F.col("pos").cast("string").alias("POS"), F.col("id").alias("ID"), F.col("ref").alias("REF"), F.col("alt").alias("ALT"), F.col("qual").alias("QUAL"), F.col("filter").alias("FILTER"), info("DP"), info("AF"), *more)
 
 
 def export_typed(df: DataFrame) -> DataFrame:

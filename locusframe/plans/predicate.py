@@ -242,15 +242,18 @@ def compile_tree(tree, sample_index: int | None = None) -> Column:
             sample = F.coalesce(F.get(F.col("samples"), F.lit(sample_index)), F.lit("."))
             return _value_test(v.sample_value(sample, v.format_index(F.col("format"), tree.field.key)), tree)
         return _core_test(tree)
-    # the place of the key is worked out once a row, outside the lambda
-    index = v.format_index(F.col("format"), tree.test.field.key)
-    passes = lambda s: _value_test(v.sample_value(s, index), tree.test)
-    some = index.isNotNull() & (F.size("samples") > 0)
-    if isinstance(tree, Passing):
-        n = F.when(some, F.size(F.filter("samples", passes))).otherwise(0)
-        return compare(n.cast("double"), tree.op, tree.literal)
-    how = F.exists if tree.how == "ANY" else F.forall
-    return F.coalesce(some & how("samples", passes), F.lit(False))
+
+    def over(row: Column) -> Column:
+        passes = lambda s: _value_test(v.sample_value(s, row["at"]), tree.test)
+        some = row["at"].isNotNull() & (F.size(row["samples"]) > 0)
+        if isinstance(tree, Passing):
+            n = F.when(some, F.size(F.filter(row["samples"], passes))).otherwise(0)
+            return compare(n.cast("double"), tree.op, tree.literal)
+        how = F.exists if tree.how == "ANY" else F.forall
+        return F.coalesce(some & how(row["samples"], passes), F.lit(False))
+
+    # the place of the key and the samples are bound once a row, outside the lambda
+    return v.let(F.struct("samples", v.format_index(F.col("format"), tree.test.field.key).alias("at")), over)
 
 
 def compile_text(source: str, sample_names: list[str] | None = None, sample: str | None = None) -> Column:
