@@ -81,28 +81,38 @@ def _biallelic(df: DataFrame) -> DataFrame:
     return df.where(F.size("labels") == 2)
 
 
+def _rows(df: DataFrame, record: Column, keep) -> DataFrame:
+    """(chrom, pos, ord, fields of record) where keep(record) holds. The record is worked out once: a filter on its
+    fields would be pushed below it and evaluate everything that it is made of a second time."""
+    return df.select("chrom", "pos", "ord", F.inline(F.filter(F.array(record), keep)))
+
+
 def hardy(df: DataFrame, chosen: list[int] | None = None) -> DataFrame:
     """Observed and expected genotype counts and the chi-square of Hardy-Weinberg equilibrium, at biallelic sites
     with a diploid call."""
-    out = _biallelic(with_genotypes(df, chosen)).withColumn("d", _diploid(F.col("genotypes")))
+    sites = _biallelic(with_genotypes(df, chosen))
+
+    def observed(d: Column) -> Column:
+        alts = F.transform(d, lambda g: F.get(g, F.lit(0)) + F.get(g, F.lit(1)))
+        count = lambda x, n: F.size(F.filter(x, lambda a: a == n)).cast("bigint")
+        return v.let(alts, lambda x: F.struct(*[count(x, n).alias(f"o{n}") for n in (0, 1, 2)], F.get("counts", F.lit(0)).alias("ref"), F.get("counts", F.lit(1)).alias("alt")))
 
-    def observed(n: int) -> Column:
-        return F.size(F.filter("d", lambda g: F.get(g, F.lit(0)) + F.get(g, F.lit(1)) == n)).cast("bigint")
+    def expected(x: Column) -> Column:
+        called, n = (x["o0"] + x["o1"] + x["o2"]).cast("double"), x["ref"] + x["alt"]
+        p, q = F.try_divide(x["ref"], n), F.try_divide(x["alt"], n)
+        return F.struct(x["o0"].alias("obs_hom_ref"), x["o1"].alias("obs_het"), x["o2"].alias("obs_hom_alt"), (called * p * p).alias("e_hom_ref"), (called * 2.0 * p * q).alias("e_het"), (called * q * q).alias("e_hom_alt"), (called * n).alias("size"))
 
-    out = out.withColumns({"obs_hom_ref": observed(0), "obs_het": observed(1), "obs_hom_alt": observed(2)})
-    out = out.withColumn("n_chr", v.total(F.col("counts"))).withColumn("called", F.size("d")).where("called > 0 and n_chr > 0")
-    out = out.withColumn("p", F.get("counts", F.lit(0)) / F.col("n_chr")).withColumn("q", F.get("counts", F.lit(1)) / F.col("n_chr"))
-    out = out.withColumns({"e_hom_ref": F.col("called") * F.col("p") * F.col("p"), "e_het": F.col("called") * 2.0 * F.col("p") * F.col("q"), "e_hom_alt": F.col("called") * F.col("q") * F.col("q")})
+    record = v.let(v.let(_diploid(F.col("genotypes")), observed), expected)
     part = lambda o, e: F.when(F.col(e) > 0, (F.col(o) - F.col(e)) * (F.col(o) - F.col(e)) / F.col(e)).otherwise(0.0)
     chisq = part("obs_hom_ref", "e_hom_ref") + part("obs_het", "e_het") + part("obs_hom_alt", "e_hom_alt")
-    return out.select("chrom", "pos", "ord", "obs_hom_ref", "obs_het", "obs_hom_alt", "e_hom_ref", "e_het", "e_hom_alt", chisq.alias("chisq"))
+    return _rows(sites, record, lambda r: r["size"] > 0).withColumn("chisq", chisq).drop("size")
 
 
 def het(df: DataFrame, names: list[str], chosen: list[int] | None = None) -> DataFrame:
     """(sample_no, sample, o_hom, e_hom, n_sites, f): heterozygosity by sample over biallelic sites."""
     places = list(range(len(names))) if chosen is None else chosen
-    sites = _biallelic(with_genotypes(df, places)).withColumn("pi", v.site_pi(F.col("counts"))).where("pi is not null")
-    each = sites.select("pi", F.posexplode("genotypes").alias("sample_no", "g")).where((F.size("g") == 2) & F.forall("g", lambda a: a <= 1))
+    sites = _biallelic(with_genotypes(df, places)).withColumn("pi", v.site_pi(F.col("counts")))
+    each = sites.select("pi", F.posexplode(F.when(F.col("pi").isNotNull(), F.col("genotypes"))).alias("sample_no", "g")).where((F.size("g") == 2) & F.forall("g", lambda a: a <= 1))
     # every chosen sample is reported, called or not
     out = each.groupBy("sample_no").agg(F.count_if(F.get("g", F.lit(0)) == F.get("g", F.lit(1))).alias("o_hom"), F.sum(1 - F.col("pi")).alias("e_hom"), F.count(F.lit(1)).alias("n_sites"))
     every = df.sparkSession.createDataFrame([(i, names[c]) for i, c in enumerate(places)], "sample_no int, sample string")
@@ -134,7 +144,7 @@ def fst_hudson(df: DataFrame, pops: list[list[int]]) -> DataFrame:
         return F.when((n >= 2) & (m >= 2), both)
 
     fst = v.let(F.struct(called(0).alias("x"), called(1).alias("y")), ratio)
-    return out.select("chrom", "pos", "ord", fst.alias("fst")).where("fst is not null")
+    return _rows(out, F.struct(fst.alias("fst")), lambda r: r["fst"].isNotNull())
 
 
 def _hudson(p: Column, q: Column, n: Column, m: Column) -> Column:
@@ -166,7 +176,7 @@ def fst_weir_cockerham(df: DataFrame, pops: list[list[int]]) -> DataFrame:
 
 def pi_site(df: DataFrame, chosen: list[int] | None = None) -> DataFrame:
     """(chrom, pos, ord, pi) of sites with two called alleles or more."""
-    return with_genotypes(df, chosen).select("chrom", "pos", "ord", v.site_pi(F.col("counts")).alias("pi")).where("pi is not null")
+    return _rows(with_genotypes(df, chosen), F.struct(v.site_pi(F.col("counts")).alias("pi")), lambda r: r["pi"].isNotNull())
 
 
 def _size(window: int) -> int:
@@ -215,7 +225,7 @@ def tajima_d(df: DataFrame, window: int, n_samples: int, chosen: list[int] | Non
 
 def sfs(df: DataFrame, folded: bool = False, chosen: list[int] | None = None) -> DataFrame:
     """(allele_count, n_sites) from 0 to the largest bin, zeros included; one row 0, 0 without sites."""
-    sites = _biallelic(with_genotypes(df, chosen)).select(F.get("counts", F.lit(1)).alias("ac"), v.total(F.col("counts")).alias("an")).where("an > 0")
+    sites = _rows(_biallelic(with_genotypes(df, chosen)), v.let(F.col("counts"), lambda c: F.struct(F.get(c, F.lit(1)).alias("ac"), v.total(c).alias("an"))), lambda r: r["an"] > 0)
     bins = sites.groupBy((F.least("ac", F.col("an") - F.col("ac")) if folded else F.col("ac")).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.max(F.floor(F.col("an") / 2) if folded else F.col("ac")).alias("top"))
     every = bins.agg(F.coalesce(F.max("top"), F.lit(0)).cast("bigint").alias("top")).select(F.explode(F.sequence(F.lit(0).cast("bigint"), "top")).alias("bin"))
     return every.join(bins.select("bin", "n"), "bin", "left").select(F.col("bin").alias("allele_count"), F.coalesce("n", F.lit(0)).alias("n_sites"))

@@ -51,9 +51,16 @@ def _spark(sql: str) -> str:
     return sql.replace("IDIV", "div")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores if its file gives fewer: a small file is one task otherwise, and
+    what follows is work per row. A table of many files is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Site columns of ``part``; ord follows the key."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part = _spread(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size"))
     return spark.sql(_spark(SITES.replace("from part", "from {part}")), part=part).withColumn("ord", F.col("k"))
 
 
