@@ -19,19 +19,20 @@ def connected(edges: DataFrame, scratch: Scratch, label: str = "cc") -> DataFram
     edges = edges.where("a is not null and b is not null and a <> b")
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = scratch.cut(edges, label)
-    state = None
-    while True:
+    while not _stars(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        small = small.select("e.a", "e.b").where("a <> b").distinct()
-        after = scratch.cut(small, label)
-        seen = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        after = scratch.cut(small.select("e.a", "e.b").where("a <> b").distinct(), label)
         scratch.drop(now)
         now = after
-        if seen == state:
-            break
-        state = seen
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node has one link to its root and no root has a link itself: one combined aggregation."""
+    ends = edges.select(F.col("a").alias("n"), F.lit(1).alias("links"), F.lit(0).alias("root")).unionByName(edges.select(F.col("b").alias("n"), F.lit(0).alias("links"), F.lit(1).alias("root")))
+    node = ends.groupBy("n").agg(F.sum("links").alias("links"), F.max("root").alias("root"))
+    return node.where("links > 1 or (links = 1 and root = 1)").limit(1).isEmpty()
