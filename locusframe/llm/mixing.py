@@ -116,7 +116,7 @@ def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights,
 
     at = F.explode(F.expr(f"sequence(off div {block_words}, (off + size - 1) div {block_words})")).alias("block")
     own = rows.where("size > 0").select("source_no", "off", "size", at)
-    own = own.join(times, ["source_no", "block"])
+    own = own.join(times.hint("merge"), ["source_no", "block"])  # both sides grow with the corpus
     first = F.greatest(F.col("off"), F.col("block") * block_words)
     words = F.least(F.col("off") + F.col("size"), (F.col("block") + 1) * block_words) - first
     own = own.select("source_no", "off", (first - F.col("off")).alias("first"), words.alias("words"), "times")
@@ -136,7 +136,7 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     scratch, rows, own, _ = _plan(docs, id_col, text_col, source_col, weights, budget, cap, block_words, seed, "mix")
     taken = own.groupBy("source_no", "off").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     # rows without words share an offset with the next document: they must not match
-    out = rows.withColumn("key", F.when(F.col("size") > 0, F.col("off"))).join(taken.withColumnRenamed("off", "key"), ["source_no", "key"], "left")
+    out = rows.withColumn("key", F.when(F.col("size") > 0, F.col("off"))).join(taken.withColumnRenamed("off", "key").hint("merge"), ["source_no", "key"], "left")
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
 
 
@@ -150,7 +150,7 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     parts = own.groupBy("source_no", "off").agg(F.sort_array(F.collect_list(F.struct("first", "words", "times"))).alias("__parts"))
     # rows of the same id and text are told apart by source and number
     number = F.row_number().over(Window.partitionBy("id", "h").orderBy("source_no", "off"))
-    named = rows.where("size > 0").withColumn("__n", number).join(parts, ["source_no", "off"])
+    named = rows.where("size > 0").withColumn("__n", number).join(parts.hint("merge"), ["source_no", "off"])
     return _with_text(docs, named, id_col, text_col, source_col, cap)
 
 
@@ -160,7 +160,7 @@ def _with_text(docs: DataFrame, named: DataFrame, id_col: str, text_col: str, so
     keyed = docs.withColumns({"__id": F.col(id_col), "__h": F.xxhash64(text)})
     keyed = keyed.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__h").orderBy(F.asc_nulls_last(source_col))))
     named = named.select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("__n"), "__parts", F.col("size").alias("__size"))
-    out = keyed.join(named, keyed["__id"].eqNullSafe(named["__id"]) & (keyed["__h"] == named["__h"]) & (keyed["__n"] == named["__n"])).drop("__h", "__n", "__id")
+    out = keyed.join(named.hint("merge"), keyed["__id"].eqNullSafe(named["__id"]) & (keyed["__h"] == named["__h"]) & (keyed["__n"] == named["__n"])).drop("__h", "__n", "__id")
     kept = lambda c: F.filter("__parts", lambda p: p["times"] >= c)
     whole: Column = F.aggregate(kept(F.col("__copy")), F.lit(0).cast("bigint"), lambda a, p: a + p["words"]) == F.col("__size")
     out = out.withColumn("__copy", F.explode(F.expr(f"sequence(1, {cap})"))).where(F.size(kept(F.col("__copy"))) > 0)
