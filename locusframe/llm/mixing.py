@@ -150,22 +150,25 @@ def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     parts = own.groupBy("source_no", "off").agg(F.sort_array(F.collect_list(F.struct("first", "words", "times"))).alias("__parts"))
     # rows of the same id and text are told apart by source and number
     number = F.row_number().over(Window.partitionBy("id", "h").orderBy("source_no", "off"))
-    named = rows.where("size > 0").withColumn("__n", number).join(parts.hint("merge"), ["source_no", "off"])
-    return _with_text(docs, named, id_col, text_col, source_col, cap)
+    repeated = not rows.where("size > 0").groupBy("id", "h").count().where("count > 1").limit(1).isEmpty()
+    named = rows.where("size > 0").withColumn("__n", number if repeated else F.lit(1)).join(parts.hint("merge"), ["source_no", "off"])
+    return _with_text(docs, named, id_col, text_col, source_col, cap, repeated)
 
 
-def _with_text(docs: DataFrame, named: DataFrame, id_col: str, text_col: str, source_col: str, cap: int) -> DataFrame:
+def _with_text(docs: DataFrame, named: DataFrame, id_col: str, text_col: str, source_col: str, cap: int, repeated: bool) -> DataFrame:
     columns = docs.columns
     text = F.col(text_col).cast("string")
     keyed = docs.withColumns({"__id": F.col(id_col), "__h": F.xxhash64(text)})
-    keyed = keyed.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__h").orderBy(F.asc_nulls_last(source_col))))
+    # only where id and text repeat do the texts have to be sorted to number their rows
+    keyed = keyed.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__h").orderBy(F.asc_nulls_last(source_col))) if repeated else F.lit(1))
     named = named.select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("__n"), "__parts", F.col("size").alias("__size"))
     out = keyed.join(named.hint("merge"), keyed["__id"].eqNullSafe(named["__id"]) & (keyed["__h"] == named["__h"]) & (keyed["__n"] == named["__n"])).drop("__h", "__n", "__id")
     kept = lambda c: F.filter("__parts", lambda p: p["times"] >= c)
     whole: Column = F.aggregate(kept(F.col("__copy")), F.lit(0).cast("bigint"), lambda a, p: a + p["words"]) == F.col("__size")
     out = out.withColumn("__copy", F.explode(F.expr(f"sequence(1, {cap})"))).where(F.size(kept(F.col("__copy"))) > 0)
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    some = F.array_join(F.flatten(F.transform(kept(F.col("__copy")), lambda p: F.slice(words, (p["first"] + 1).cast("int"), p["words"].cast("int")))), " ")
+    cut = lambda w: F.flatten(F.transform(kept(F.col("__copy")), lambda p: F.slice(w, (p["first"] + 1).cast("int"), p["words"].cast("int"))))
+    # the words are bound once a row: inside the inner lambda they would be found again for every block
+    some = F.array_join(F.get(F.transform(F.array(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), cut), F.lit(0)), " ")
     out = out.withColumn("__text", F.when(whole, text).otherwise(some))
     pick = {text_col: F.col("__text"), "n_chars": F.length("__text").cast("bigint")}
     return out.select(*[pick[c].alias(c) if c in pick else F.col(f"`{c}`") for c in columns])
