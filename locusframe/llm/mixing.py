@@ -10,6 +10,7 @@ chunks, and slots are made in pieces.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from locusframe.llm.scratch import Scratch
 from locusframe.llm.wordhash import U, mix
 
-#: Words in a block, slots in an output shard, documents in a chunk of offsets, slots made by one row.
-BLOCK_WORDS, SHARD_SLOTS, CHUNK_DOCS, PIECE = 64, 8192, 2048, 1 << 16
+#: Words in a block, slots in an output shard, least documents in a chunk of offsets, slots made by one row.
+BLOCK_WORDS, SHARD_SLOTS, CHUNK_DOCS, PIECE = 64, 8192, 256, 1 << 16
 #: Sources up to which the table of sources is broadcast (some 60 bytes each); beyond, it is shuffled.
 BROADCAST_SOURCES = 100_000
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -97,7 +98,8 @@ def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights,
     n_sources, most = sources.agg(F.count(F.lit(1)), F.coalesce(F.max("docs"), F.lit(0))).first()
     side = F.broadcast(sources) if n_sources <= BROADCAST_SOURCES else sources
     rows = rows.join(side.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s", "docs")
-    chunk = F.pmod(F.xxhash64("id", "h", F.lit(seed)), F.lit(max(1, -(-most // CHUNK_DOCS)))).cast("int")
+    # about as many chunks as documents in one: neither the chunks of a source nor a chunk's documents are many
+    chunk = F.pmod(F.xxhash64("id", "h", F.lit(seed)), F.lit(max(1, -(-most // max(CHUNK_DOCS, math.isqrt(most)))))).cast("int")
     rows = rows.withColumn("chunk", chunk)
     sums = rows.groupBy("source_no", "chunk").agg(F.sum("size").alias("c"))
     sums = sums.select("source_no", "chunk", (F.sum("c").over(Window.partitionBy("source_no").orderBy("chunk")) - F.col("c")).alias("base"))
