@@ -154,7 +154,7 @@ def _rerank(k: int):
     return run
 
 
-def search(vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, tables: int = 4, projections: int = 8, width: float = 2.0, probes: int = 400, seed: int = 11) -> DataFrame:
+def search(vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, tables: int = 4, projections: int = 8, width: float = 2.0, probes: int = 700, seed: int = 11) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found, by cosine, for each row where is_query holds.
 
     is_query is a column of vectors, as ``F.col("vec_id") % 50 == 0``; candidates are all rows of another id.
