@@ -4,14 +4,14 @@ Every token is predicted from the ``SIDE`` tokens before and after it, never fro
 sum of the conditional log-probabilities of its tokens.  The output layer is two-level - a class, then a word in the
 class - so each prediction is a proper distribution over the vocabulary at the cost of two small softmaxes.
 
-The vocabulary comes from word counts over all documents.  Training goes over windows of a fixed share of all
-documents, drawn by hash, so it grows with the corpus: each task trains a copy of the network on its share and returns it, copies are averaged, weighted by their
-windows, and the next round starts from the average; what the corpus sends grows with it.
+The vocabulary comes from word counts over all documents.  Training goes over every window of every row, copies
+included: a round takes one position of EVERY, the next round the positions after them.  Each task trains a copy of
+the network on its rows and returns it, copies are averaged, weighted by their windows, and the next round starts
+from the average; what the corpus sends grows with it.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 
 SIDE, DIM, CLASSES, PER_CLASS = 2, 16, 32, 32
-#: One document of DOCS and in it one window of EVERY trains; training rounds, windows of a step, learning rate.
-DOCS, EVERY, ROUNDS, STEP, RATE = 8, 24, 2, 64, 0.5
+#: In a round one row of DOCS and in it one window of EVERY trains, other ones in the next round: with as many rounds,
+#: each window of all rows trains once; training rounds, windows of a step, learning rate.
+DOCS, EVERY, ROUNDS, STEP, RATE = 1, 2, 2, 64, 0.5
 #: Words kept of a task's counter at once before it is sent on.
 COUNTER = 200_000
 
@@ -86,26 +87,25 @@ class Network:
         d_class = -np.exp(_log_softmax(h @ self.cls.T + self.cb))
         d_class[np.arange(n), c] += 1
         d_h = d_class @ self.cls
-        outs = []
-        for own, k in _by_class(c):
-            rows = slice(k * PER_CLASS, (k + 1) * PER_CLASS)
-            d_word = -np.exp(_log_softmax(h[own] @ self.out[rows].T + self.ob[rows]))
-            d_word[np.arange(len(own)), target[own] % PER_CLASS] += 1
-            d_h[own] += d_word @ self.out[rows]
-            outs.append((rows, d_word.T @ h[own], d_word.sum(axis=0)))
+        own = self.out.reshape(CLASSES, PER_CLASS, DIM)[c]
+        d_word = -np.exp(_log_softmax(np.matmul(own, h[:, :, None])[:, :, 0] + self.ob.reshape(CLASSES, PER_CLASS)[c]))
+        d_word[np.arange(n), target % PER_CLASS] += 1
+        d_h += np.matmul(d_word[:, None, :], own)[:, 0]
+        d_out = np.zeros((n, CLASSES, PER_CLASS), dtype=np.float32)  # other classes than the target's get no part
+        d_out[np.arange(n), c] = d_word
+        d_out = d_out.reshape(n, -1)
         d_pre = d_h * (1 - h * h)
         d_mean = d_pre @ self.hid.T / np.float32(2 * SIDE)
         whole, part = each / np.float32(n) * 4, each / 8  # rows that few windows touch take larger steps
         d_emb = (d_mean[:, None, :] * self.pos).reshape(-1, DIM)
         self.cls += whole * d_class.T @ h
         self.cb += whole * d_class.sum(axis=0)
-        for rows, d_out, d_bias in outs:
-            self.out[rows] += part * d_out
-            self.ob[rows] += part * d_bias
+        self.out += part * (d_out.T @ h)
+        self.ob += part * d_out.sum(axis=0)
         self.hid += whole * mean.T @ d_pre
         self.hb += whole * d_pre.sum(axis=0)
         self.pos += whole * np.einsum("npd,nd->pd", e, d_mean)
-        np.add.at(self.emb, context.ravel(), part * d_emb)
+        np.add.at(self.emb.reshape(-1), (context.reshape(-1, 1) * DIM + np.arange(DIM)).ravel(), (part * d_emb).ravel())
 
 
 def _by_class(c: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
@@ -149,7 +149,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _train(vocabulary, start, round_no: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, vocab = Network(start.value.copy()), vocabulary.value
-        held_c, held_t, done = [], [], 0
+        held_c, held_t, done, row = [], [], 0, 0
 
         def learn(least: int) -> int:
             nonlocal held_c, held_t
@@ -162,10 +162,13 @@ def _train(vocabulary, start, round_no: int):
 
         for b in batches:
             for text in b.column(0):
+                row += 1
+                if (row + round_no) % DOCS:
+                    continue
                 ids = vocab.ids(words_of(text.as_py()))
-                if len(ids):
-                    c, t = windows(ids, 0, len(ids))
-                    pick = (np.arange(len(t)) * 7 + zlib.crc32(ids.tobytes()) + round_no) % EVERY == 0
+                for lo in range(0, len(ids), 16384):
+                    c, t = windows(ids, lo, min(lo + 16384, len(ids)))
+                    pick = slice((row + round_no - lo) % EVERY, None, EVERY)
                     held_c.append(c[pick])
                     held_t.append(t[pick])
                     if sum(map(len, held_t)) >= 4 * STEP:
@@ -189,7 +192,7 @@ def _average(pdf):
 
 
 def train(docs: DataFrame, *, text_col: str = "text", rounds: int = ROUNDS) -> tuple[Vocabulary, Network]:
-    """The vocabulary from counts over all documents, the network from windows drawn by hash.
+    """The vocabulary from counts over all documents, the network from the windows of all rows.
 
     The driver receives the most frequent words and one averaged network; counts and copies of the network are
     combined on the executors.
@@ -202,8 +205,7 @@ def train(docs: DataFrame, *, text_col: str = "text", rounds: int = ROUNDS) -> t
     shared = sc.broadcast(vocab)
     for r in range(rounds):
         start = sc.broadcast(net.flat)
-        drawn = text.where(F.pmod(F.xxhash64("text"), F.lit(DOCS)) == r % DOCS)  # other documents each round
-        copies = drawn.mapInArrow(_train(shared, start, r), "part int, weight double, data binary")
+        copies = text.mapInArrow(_train(shared, start, r), "part int, weight double, data binary")
         parts = copies.groupBy("part").applyInPandas(_average, "part int, data binary").orderBy("part").collect()
         if parts:
             net = Network(np.concatenate([np.frombuffer(p["data"], dtype="<f4") for p in parts]))

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 
 from locusframe.llm import lm_score as lm
 
@@ -55,3 +56,26 @@ def test_scores(spark, monkeypatch):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert lm.score(df).collect() == []
+
+
+class Held:
+    def __init__(self, value):
+        self.value = value
+
+
+def test_every_window_trains_once():
+    texts = [text(i, 20 + i) for i in range(7)] + ["same words here"] * 50 + [None, "", "x " * 40_001]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    vocab = Held(lm.Vocabulary(sorted({w for t in texts for w in lm.words_of(t)})))
+    trained = 0
+    for r in range(lm.ROUNDS):
+        parts = list(lm._train(vocab, Held(lm.Network().flat), r)([batch]))
+        trained += parts[0]["weight"][0].as_py()
+    assert trained == sum(len(lm.words_of(t)) for t in texts)
+
+
+def test_production_parameters_train_small_tables(spark):
+    df = spark.createDataFrame([(i, "one small text of its own") for i in range(5)], "doc_id long, text string")
+    vocab, net = lm.train(df)
+    ids = vocab.ids(lm.words_of("one small text of its own"))
+    assert net.log_prob(*lm.windows(ids, 0, len(ids))).mean() > lm.Network().log_prob(*lm.windows(ids, 0, len(ids))).mean() + 0.1
