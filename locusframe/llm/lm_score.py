@@ -4,7 +4,11 @@ Every token is predicted from the ``SIDE`` tokens before and after it, never fro
 sum of the conditional log-probabilities of its tokens.  The output layer is two-level - a class, then a word in the
 class - so each prediction is a proper distribution over the vocabulary at the cost of two small softmaxes.
 
-The vocabulary comes from word counts over all documents.  Training goes over every window of every row, copies
+The vocabulary comes from word counts over all documents.  The most frequent words are outputs of the network of
+their own; the others share outputs by length and last character, and the probability of the word inside its
+output is its share of the output's count.  The table of words grows with the corpus up to TABLE; words beyond it
+have the mean count of such words of their output.  So the score is a distribution over all words of the corpus,
+with room for one unseen word in each shared output.  Training goes over every window of every row, copies
 included: a round takes one position of EVERY, the next round the positions after them.  Each task trains a copy of
 the network on its rows and returns it, copies are averaged, weighted by their windows, and the next round starts
 from the average; what the corpus sends grows with it.
@@ -20,11 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from locusframe.llm.scratch import Scratch
 
 SIDE, DIM, CLASSES, PER_CLASS = 2, 16, 32, 32
 #: In a round one row of DOCS and in it one window of EVERY trains, other ones in the next round: with as many rounds,
 #: each window of all rows trains once; training rounds, windows of a step, learning rate.
 DOCS, EVERY, ROUNDS, STEP, RATE = 1, 2, 2, 64, 0.5
+#: Words in the table (some 200 bytes each in every worker), and words of it that have an embedding of their own.
+TABLE, CONTEXT = 1 << 18, 1 << 15
 #: Words kept of a task's counter at once before it is sent on.
 COUNTER = 200_000
 
@@ -35,25 +42,54 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Vocabulary:
-    """The most frequent words by rank; all others share numbers by length and last character, at the end."""
+    """Numbers of words. Below EDGE are the network's outputs: the most frequent words by rank, then the shared
+    outputs; the other words of the table follow EDGE by rank, and a word beyond the table has its shared output."""
 
     SPARE = 8 * PER_CLASS
-
-    def __init__(self, ranked: list[str]):
-        self.size = CLASSES * PER_CLASS
-        self.ranked = ranked[: self.size - self.SPARE]
-        self.number = {w: i for i, w in enumerate(self.ranked)}
+    EDGE = CLASSES * PER_CLASS
+
+    def __init__(self, ranked: list[str], counts: list[int] | None = None, totals: dict[int, tuple[int, int]] | None = None):
+        """counts are those of ranked; totals the (tokens, distinct words) of all words by shared()."""
+        self.size = self.EDGE
+        own = self.size - self.SPARE
+        self.ranked = ranked[:own]
+        rare = ranked[own:]
+        self.number = {w: i for i, w in enumerate(self.ranked)} | {w: self.EDGE + 1 + i for i, w in enumerate(rare)}
+        self.outputs = np.concatenate([np.arange(self.EDGE + 1), own + np.array([self.shared(w) for w in rare], dtype=np.int64)])
+        self.rows = self.outputs.copy()
+        self.rows[self.EDGE + 1 :][:CONTEXT] = self.EDGE + 1 + np.arange(len(rare))[:CONTEXT]
+        n = np.array([1] * len(ranked) if counts is None else counts, dtype=np.float64)
+        every, at = np.zeros((self.SPARE, 2)), self.outputs[self.EDGE + 1 :] - own
+        for k, found in (totals or {}).items():
+            every[k] = found
+        for w, c in zip(self.ranked, n):
+            every[self.shared(w)] -= (c, 1) if totals else 0
+        inside, listed = np.bincount(at, n[own:], self.SPARE), np.bincount(at, minlength=self.SPARE)
+        beyond, kinds = (every - np.stack([inside, listed], axis=1)).T if totals else np.zeros((2, self.SPARE))
+        mass = inside + beyond + 1  # one for an unseen word
+        rest = np.log((beyond + 1) / (kinds + 1) / mass)
+        self.inside = np.concatenate([np.zeros(own), rest, [0.0], np.log(n[own:] / mass[at])])
+
+    @classmethod
+    def shared(cls, word: str) -> int:
+        return (len(word) * 31 + ord(word[-1])) % cls.SPARE
 
     def ids(self, words: list[str]) -> np.ndarray:
-        known, spare = self.number, self.SPARE
-        first = self.size - spare
-        return np.array([known[w] if w in known else first + (len(w) * 31 + ord(w[-1])) % spare for w in words], dtype=np.int64)
+        known, first = self.number, self.size - self.SPARE
+        return np.array([known[w] if w in known else first + self.shared(w) for w in words], dtype=np.int64)
+
+    def windows(self, ids: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+        """Embedding rows of the contexts and outputs of the targets at the positions lo..hi."""
+        near = slice(max(lo - SIDE, 0), hi + SIDE)
+        c, _ = windows(self.rows[ids[near]], lo - near.start, min(hi, len(ids)) - near.start)
+        return c, self.outputs[ids[lo:hi]]
 
 
 class Network:
-    """Embeddings (one more row for places beyond the text), position weights, class and word outputs."""
+    """Position weights, class and word outputs, embeddings: of the outputs, of places beyond the text, then of as
+    many more words as flat holds."""
 
-    SHAPES = {"emb": (CLASSES * PER_CLASS + 1, DIM), "pos": (2 * SIDE, DIM), "hid": (DIM, DIM), "hb": (DIM,), "cls": (CLASSES, DIM), "cb": (CLASSES,), "out": (CLASSES * PER_CLASS, DIM), "ob": (CLASSES * PER_CLASS,)}
+    SHAPES = {"pos": (2 * SIDE, DIM), "hid": (DIM, DIM), "hb": (DIM,), "cls": (CLASSES, DIM), "cb": (CLASSES,), "out": (CLASSES * PER_CLASS, DIM), "ob": (CLASSES * PER_CLASS,), "emb": (CLASSES * PER_CLASS + 1, DIM)}
 
     def __init__(self, flat: np.ndarray | None = None, seed: int = 5):
         if flat is None:
@@ -62,8 +98,9 @@ class Network:
         self.flat = flat.astype(np.float32)
         at = 0
         for n, s in self.SHAPES.items():
-            setattr(self, n, self.flat[at : at + int(np.prod(s))].reshape(s))
-            at += int(np.prod(s))
+            size = len(self.flat) - at if n == "emb" else int(np.prod(s))
+            setattr(self, n, self.flat[at : at + size].reshape(-1, *s[1:]))
+            at += size
 
     def hidden(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         e = self.emb[context]
@@ -146,6 +183,33 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch()
 
 
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shared output, tokens, distinct words) of a task's words."""
+    tokens, kinds = Counter(), Counter()
+    for b in batches:
+        for word, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            k = Vocabulary.shared(word)
+            tokens[k] += n
+            kinds[k] += 1
+    yield pa.RecordBatch.from_arrays([pa.array(list(tokens), pa.int32()), pa.array(list(tokens.values()), pa.int64()), pa.array([kinds[k] for k in tokens], pa.int64())], ["k", "tokens", "kinds"])
+
+
+def vocabulary(counts: DataFrame) -> Vocabulary:
+    """The table of words of (word, n): all that occur as often as the rarest level of counts that fits in whole."""
+    least, held = None, 0
+    for r in counts.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
+        if held + r["count"] > TABLE:
+            break
+        least, held = r["n"], held + r["count"]
+    if held < min(CLASSES * PER_CLASS, TABLE):  # one level is larger than the table
+        chosen = counts.orderBy(F.desc("n"), "word").limit(CLASSES * PER_CLASS)
+    else:
+        chosen = counts.where(F.col("n") >= least)
+    ranked = sorted(((r["word"], r["n"]) for r in chosen.collect()), key=lambda x: (-x[1], x[0]))
+    totals = counts.mapInArrow(_totals, "k int, tokens bigint, kinds bigint").groupBy("k").agg(F.sum("tokens"), F.sum("kinds")).collect()
+    return Vocabulary([w for w, _ in ranked], [n for _, n in ranked], {r[0]: (r[1], r[2]) for r in totals})
+
+
 def _train(vocabulary, start, round_no: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, vocab = Network(start.value.copy()), vocabulary.value
@@ -167,7 +231,7 @@ def _train(vocabulary, start, round_no: int):
                     continue
                 ids = vocab.ids(words_of(text.as_py()))
                 for lo in range(0, len(ids), 16384):
-                    c, t = windows(ids, lo, min(lo + 16384, len(ids)))
+                    c, t = vocab.windows(ids, lo, min(lo + 16384, len(ids)))
                     pick = slice((row + round_no - lo) % EVERY, None, EVERY)
                     held_c.append(c[pick])
                     held_t.append(t[pick])
@@ -194,14 +258,15 @@ def _average(pdf):
 def train(docs: DataFrame, *, text_col: str = "text", rounds: int = ROUNDS) -> tuple[Vocabulary, Network]:
     """The vocabulary from counts over all documents, the network from the windows of all rows.
 
-    The driver receives the most frequent words and one averaged network; counts and copies of the network are
+    The driver receives the table of words and one averaged network; counts and copies of the network are
     combined on the executors.
     """
     sc = docs.sparkSession.sparkContext
     text = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null")
     counts = text.mapInArrow(_count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    ranked = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(CLASSES * PER_CLASS).collect()]
-    vocab, net = Vocabulary(ranked), Network()
+    vocab, net = vocabulary(Scratch(docs.sparkSession, "lm").cut(counts, "counts")), Network()
+    more = vocab.rows[Network.SHAPES["emb"][0] :][:CONTEXT]
+    net = Network(np.concatenate([net.flat, net.emb[vocab.outputs[more]].ravel()]))  # from the row of the shared output
     shared = sc.broadcast(vocab)
     for r in range(rounds):
         start = sc.broadcast(net.flat)
@@ -230,8 +295,9 @@ def _score(vocabulary, weights):
             for i, text in enumerate(b.column(1)):
                 ids = vocab.ids(words_of(text.as_py()))
                 n[i] = len(ids)
+                total[i] = vocab.inside[ids].sum()
                 for lo in range(0, len(ids), 16384):
-                    c, t = windows(ids, lo, min(lo + 16384, len(ids)))
+                    c, t = vocab.windows(ids, lo, min(lo + 16384, len(ids)))
                     held.append((c, t, np.full(len(t), i)))
                     size += len(t)
                     if size >= 16384:
@@ -246,7 +312,8 @@ def _score(vocabulary, weights):
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", model: tuple[Vocabulary, Network] | None = None) -> DataFrame:
     """(id, n_tokens, pll, pll_per_token, perplexity) for each row of docs, trained on them unless a model is given.
 
-    pll is the sum over all tokens of the whole text of log p(token | SIDE tokens on both sides).  A null text or
+    pll is the sum over all tokens of the whole text of log p(word | SIDE words on both sides), that of a shared
+    output and of the word inside it together.  A null text or
     one without tokens has n_tokens 0, pll 0 and null per-token figures.  Repeated rows score alike up to float
     rounding; an empty table gives no rows.
     """

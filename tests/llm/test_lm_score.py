@@ -79,3 +79,34 @@ def test_production_parameters_train_small_tables(spark):
     vocab, net = lm.train(df)
     ids = vocab.ids(lm.words_of("one small text of its own"))
     assert net.log_prob(*lm.windows(ids, 0, len(ids))).mean() > lm.Network().log_prob(*lm.windows(ids, 0, len(ids))).mean() + 0.1
+
+
+def test_rare_words_are_told_apart(spark, monkeypatch):
+    frequent = " ".join(f"w{i:04}" for i in range(800)) + " "
+    # abcx and dbcx share an output: same length, same last letter
+    rows = [(i, frequent) for i in range(12)] + [(100, "abcx " * 9 + "dbcx"), (101, "w0001 abcx w0002"), (102, "w0001 dbcx w0002"), (103, "w0001 zzzx w0002")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    vocab, net = lm.train(df.where("doc_id <= 100"))
+    got = {r.doc_id: r for r in lm.score(df, model=(vocab, net)).collect()}
+    assert got[101].pll > got[102].pll + 1 and got[102].n_tokens == 3  # counts 9 and 1
+    assert abs(got[103].pll - got[102].pll) < 0.5  # unseen: as one that occurs once, in a context of its own
+    # over all words of the corpus and an unseen one of each shared output, the probabilities add up to 1
+    words = sorted({w for r in rows[:13] for w in lm.words_of(r[1])})
+    ids = np.concatenate([vocab.ids(words), np.arange(768, 1024)])
+    context = np.repeat(vocab.rows[ids[:4]][None, :], len(ids), axis=0)
+    p = np.exp(net.log_prob(context, vocab.outputs[ids]).astype(float) + vocab.inside[ids])
+    assert abs(p.sum() - 1) < 1e-3
+
+
+def test_words_beyond_the_table_share_the_rest(spark, monkeypatch):
+    monkeypatch.setattr(lm, "TABLE", 1100)
+    counts = spark.createDataFrame([(f"w{i:05}", 3) for i in range(1100)] + [(f"v{i:05}", 1) for i in range(2000)], "word string, n long")
+    vocab = lm.vocabulary(counts)
+    assert len(vocab.number) == 1100
+    words = [r.word for r in counts.collect()]
+    ids = vocab.ids(words)
+    inside = np.zeros(1024)
+    np.add.at(inside, vocab.outputs[ids], np.exp(vocab.inside[ids]))
+    for k in range(768, 1024):
+        unseen = np.exp(vocab.inside[k])
+        assert abs(inside[k] + unseen - 1) < 1e-9
