@@ -110,18 +110,24 @@ def _deal(hasher: Hasher, groups: int, split: dict[tuple[int, int], int], querie
 
 
 def nearest(q: np.ndarray, q_norm: float, q_id: int, x: np.ndarray, norm: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, cosines) of the k nearest other rows; ties go to the smaller id. The sum of each pair runs in one
+    """(ids, cosines) of the k nearest other ids, each with its nearest row; ties go to the smaller id. The sum of each pair runs in one
     fixed order, so equal vectors get equal scores wherever they are compared."""
     score = (x @ q) / (norm * q_norm)
     score[ids == q_id] = -np.inf
     if len(score) > 4 * k:
         edge = np.partition(score, len(score) - k)[len(score) - k]
         near = np.flatnonzero(score >= edge - 1e-9)
+        if len(np.unique(ids[near])) < k:  # rows of one id take up the places: the edge goes by ids
+            each, own = np.unique(ids, return_inverse=True)
+            best = np.full(len(each), -np.inf)
+            np.maximum.at(best, own, score)
+            near = np.flatnonzero(score >= np.partition(best, max(len(best) - k, 0))[max(len(best) - k, 0)] - 1e-9)
         x, norm, ids, score = x[near], norm[near], ids[near], score[near]
     exact = (x * q).sum(axis=1) / (norm * q_norm)
     exact[ids == q_id] = -np.inf
-    order = np.lexsort((ids, -exact))[: k + 1]
-    order = order[np.isfinite(exact[order])][:k]
+    order = np.lexsort((ids, -exact))
+    order = order[np.isfinite(exact[order])]
+    order = order[np.sort(np.unique(ids[order], return_index=True)[1])][:k]
     return ids[order], exact[order]
 
 

@@ -69,3 +69,24 @@ def test_probes_in_order_of_cost():
     seen = h.visited(x, 0)[0]
     assert len(set(seen.tolist())) == 27
     assert seen[0] == h.bucket(np.floor(h.places(x, 0)))[0]
+
+
+def test_repeated_ids_take_one_place(spark, monkeypatch):
+    rows = vectors(300, seed=4)
+    want = exact(rows)
+    for group in (16_384, 64):  # whole, and with split buckets
+        monkeypatch.setattr(ann, "GROUP_VECTORS", group)
+        got = run(spark, rows * 3)
+        assert {q: len(f) for q, f in got.items()} == {q: 5 for q in want}
+        assert sum(len({v for v, _ in got[q]} & {v for v, _ in want[q]}) for q in want) >= 0.9 * 5 * len(want)
+
+
+def test_nearest_counts_ids():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(30, 4))
+    ids, x = np.repeat(np.arange(30), 9), np.repeat(x, 9, axis=0)
+    norm = np.sqrt((x * x).sum(axis=1))
+    got, score = ann.nearest(x[0], norm[0], 0, x, norm, ids, 5)
+    assert len(set(got.tolist())) == 5
+    once = ann.nearest(x[0], norm[0], 0, x[::9], norm[::9], ids[::9], 5)
+    assert got.tolist() == once[0].tolist() and score.tolist() == once[1].tolist()
