@@ -260,11 +260,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = 8, min_items: int = 1, min_words: int = 8) -> DataFrame:
-    """The rows of docs, with all their columns, that do not hold windows of min_items benchmark items or more.
+    """The rows of docs, with all their columns, that are clean of the benchmark.
 
-    Items of fewer than min_words words are too short to tell a passage and are left out here.
+    A row goes if it holds windows of min_items items of min_words words or more, or of two or more different items
+    of any length: a shorter item alone is too short to tell a passage.
     """
     long_enough = F.regexp_count(F.col(text_col).cast("string"), F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")) >= min_words
+    named = F.concat(F.when(long_enough, F.lit("L")).otherwise(F.lit("S")), F.coalesce(F.col(item_col).cast("string"), F.lit("null")))
+    items = benchmark.select(named.alias(item_col), F.col(text_col))
     # the search takes any columns along: the row itself is the id
-    found = search_windows(docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), benchmark.where(long_enough), id_col="__row", text_col=text_col, item_col=item_col, window=window)
-    return found.where(F.size("items") < min_items).select("id.*")
+    found = search_windows(docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), items, id_col="__row", text_col=text_col, item_col=item_col, window=window)
+    long_items = F.size(F.filter("items", lambda i: i.startswith("L")))
+    every = F.size(F.array_distinct(F.transform("items", lambda i: F.substr(i, F.lit(2)))))
+    return found.where((long_items < min_items) & (every < max(min_items, 2))).select("id.*")

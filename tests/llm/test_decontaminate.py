@@ -70,3 +70,10 @@ def test_scan_in_small_pieces(monkeypatch):
     got = m.scan([dc.words(t) for _, t in docs])
     want = brute([(i, t) for i, (_, t) in enumerate(docs)], [(str(i), t) for i, t in items])
     assert sorted(((i, len(dc.words(docs[i][1])), sum(e - s for s, e in spans), len(o), ",".join(sorted(o))) for i, (spans, o) in enumerate(got)), key=str) == want
+
+
+def test_short_items_count_together(spark):
+    items = [(1, "who wrote hamlet"), (2, "capital of peru"), (3, "one two three four five six seven eight nine"), (4, None)]
+    docs = [(1, "Who wrote Hamlet? And the capital of Peru?"), (2, "who wrote hamlet, who wrote hamlet"), (3, "x one two three four five six seven eight y"), (4, "clean"), (5, None)]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert {r.doc_id for r in dc.drop_contaminated(docs, items).collect()} == {2, 4, 5}
