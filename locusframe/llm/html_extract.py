@@ -1,11 +1,12 @@
 """Main text of web pages by site style trees.
 
-Every page is read into a tree of elements.  The trees of a host are merged by path: for each container the pages
-that have it, the presentation styles (sequences of child elements) and the contents seen there.  A container's
-importance is the larger of the normalised entropies of its styles and of its contents - 0 where all pages of the
-site look and read the same, 1 where all differ.  Containers below the threshold are removed from each page, with
-the branches that are noise by their kind (menus, footers, adverts, forms, comments and the like); an article or
-main element, where a page has one, is the content and keeps its paragraphs whatever other pages hold.
+Every page is read into a tree of elements.  The trees of a host are merged by path (names and numbers among equal
+siblings): for each element the distinct pages that have it, the presentation styles (sequences of child elements)
+and the contents seen there.  An element's importance is the larger of the normalised entropies of its styles and of
+its contents - 0 where all pages of the site look and read the same, 1 where all differ.  Elements below the threshold
+are removed from each page, with the branches that are noise by their kind (menus, footers, forms and the like).  A
+class or id such as sidebar or comments makes an element noise unless it holds an article or more than half of the
+page's text.  An article or main element, where a page has one, is the content: nothing in it goes by importance.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from locusframe.llm.scratch import Scratch
 
-#: Low-importance containers up to which their table is broadcast (some 60 bytes each); beyond, it is joined.
+#: Low-importance elements up to which their table is broadcast (some 60 bytes each); beyond, it is joined.
 BROADCAST_NODES = 200_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
@@ -39,16 +40,18 @@ NOISE_WORDS = {"ad", "ads", "advert", "adverts", "advertisement", "advertising",
 #: Elements that an open paragraph ends at, and elements closed by another of their group.
 ENDS_P = BLOCK - {"body", "html", "head", "caption", "tbody", "thead", "tfoot", "tr", "legend", "dd", "dt"}
 SIBLINGS = {"li": ("li", {"ul", "ol", "menu", "dir"}), "dd": ("dd dt", {"dl"}), "dt": ("dd dt", {"dl"}), "tr": ("tr", {"table", "tbody", "thead", "tfoot"}), "td": ("td th", {"tr"}), "th": ("td th", {"tr"}), "option": ("option", {"select"})}
-CONTAINERS = {"div", "section", "ul", "ol", "table", "dl", "center", "figure", "details", "header", "span"}
+TITLES = {"header", "h1", "h2", "h3", "h4", "h5", "h6"}
 
 
 class Node:
-    """An element on the stack. prior: 0 noise, 1 article, None undecided."""
+    """An element on the stack. prior: 0 noise, 1 article, 2 noise by a word in its name, None undecided; path and
+    content are hashes, size the characters in it if prior is 2."""
 
-    __slots__ = ("tag", "path", "prior", "children", "text", "named")
+    __slots__ = ("tag", "path", "prior", "parent", "judged", "children", "kinds", "content", "size", "holds")
 
-    def __init__(self, tag: str, path: str, prior, named: bool):
-        self.tag, self.path, self.prior, self.named, self.children, self.text = tag, path, prior, named, [], []
+    def __init__(self, tag: str, path: int, prior, parent: Node | None, judged: bool):
+        self.tag, self.path, self.prior, self.parent, self.judged = tag, path, prior, parent, judged
+        self.children, self.kinds, self.content, self.size, self.holds = [], {}, [], 0, False
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -73,30 +76,38 @@ def _prior(tag: str, attrs: dict[str, str], inside_article: bool):
 
 
 class Page:
-    """Blocks (text, paths of the undecided containers around, inside an article, noise) and the containers."""
+    """Blocks (pieces of text with the elements around that are noise by name, element, inside an article) and the
+    judged elements: path to style and content."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, tuple[str, ...], bool]] = []
-        self.containers: dict[str, Node] = {}
+        self.blocks: list[tuple[list[tuple[str, tuple[Node, ...]]], Node, bool]] = []
+        self.nodes: dict[int, tuple[int, int]] = {}
+        self.root = Node("", 0, None, None, False)
         self.stack: list[Node] = []
-        self.noise = self.article = 0
-        self.pending: list[str] = []
+        self.suspects: tuple[Node, ...] = ()
+        self.noise = self.article = self.size = 0
+        self.pending: list[tuple[str, tuple[Node, ...]]] = []
         self._read(source)
+        while self.stack:
+            self._pop()
 
     def _flush(self) -> None:
-        text = " ".join(html.unescape("".join(self.pending)).split()) if self.pending else ""
-        self.pending = []
-        if text:
-            around = tuple(n.path for n in self.stack if n.named)
-            self.blocks.append((text, around, self.article > 0))
-            for n in self.stack:
-                if n.named:
-                    n.text.append(text)
+        if self.pending:
+            text = _joined(x for x, _ in self.pending)
+            if text:
+                own = self.stack[-1] if self.stack else self.root
+                self.blocks.append((self.pending, own, self.article > 0))
+                own.content.append(text)
+            self.pending = []
 
     def _say(self, text: str) -> None:
         """Text of the block in progress; text in noise is not read."""
         if not self.noise:
-            self.pending.append(text)
+            self.pending.append((text, self.suspects))
+            n = len(text.strip())
+            self.size += n
+            for s in self.suspects:
+                s.size += n
 
     def _open(self, tag: str, raw: str) -> None:
         attrs = _attributes(raw) if raw.strip(" /") else {}
@@ -108,21 +119,31 @@ class Page:
                 self._close_to(name, limit)
         name = tag + "".join(f".{c}" for c in sorted(attrs.get("class", "").split())) + (f"#{attrs['id']}" if attrs.get("id") else "")
         name = re.sub(r"\d+", "0", name)
-        if self.stack:
-            self.stack[-1].children.append(name)
+        parent = self.stack[-1] if self.stack else self.root
+        parent.children.append(name)
+        number = parent.kinds[name] = parent.kinds.get(name, 0) + 1
         prior = _prior(tag, attrs, self.article > 0)
-        path = f"{self.stack[-1].path}>{name}" if self.stack else name
-        node = Node(tag, path, prior, prior is None and tag in CONTAINERS and name != tag)
-        if node.named:
-            self.containers.setdefault(path, node)
-        self.stack.append(node)
+        judged = prior in (None, 2) and not self.noise and not self.article
+        self.stack.append(node := Node(tag, _key(f"{parent.path}>{name}:{number}"), prior, parent, judged))
         self.noise += prior == 0
-        self.article += prior == 1
+        if prior == 1:
+            self.article += 1
+            for s in self.suspects:
+                s.holds = True
+        elif prior == 2:
+            self.suspects += (node,)
 
     def _pop(self) -> None:
         node = self.stack.pop()
         self.noise -= node.prior == 0
         self.article -= node.prior == 1
+        if node.prior == 2:
+            self.suspects = self.suspects[:-1]
+        content = _key("\n".join(node.content))
+        if node.content:
+            node.parent.content.append(str(content))
+        if node.judged:
+            self.nodes[node.path] = (_key(" ".join(node.children)), content)
 
     def _close_to(self, tag: str, limit: set[str]) -> None:
         """Close the nearest open tag and all in it, unless an element of limit stands between."""
@@ -184,10 +205,30 @@ class Page:
         self._flush()
 
     def text(self, low: frozenset[str] | set[str] = frozenset()) -> str:
-        """Blocks that are content; containers in low go, unless that would leave nothing."""
-        chosen = [b for b in self.blocks if b[2]] or self.blocks
-        kept = [t for t, around, _ in chosen if not low.intersection(around)] if low else [t for t, _, _ in chosen]
-        return "\n\n".join(kept or [t for t, _, _ in chosen])
+        """Blocks that are content; outside articles, elements in low go, unless that would leave nothing."""
+        named = [(_joined(x for x, around in pieces if all(n.holds or 2 * n.size > self.size for n in around)), own, article) for pieces, own, article in self.blocks]
+        found = [b for b in named if b[0]] or [(_joined(x for x, _ in pieces), own, article) for pieces, own, article in self.blocks]
+        inside = [t for t, _, article in found if article]
+        if inside:
+            return "\n\n".join(inside)
+        gone: dict[Node, bool] = {self.root: False}
+
+        def removed(node: Node) -> bool:
+            way = []
+            while node not in gone:
+                way.append(node)
+                node = node.parent
+            state = gone[node]
+            for n in reversed(way):
+                state = gone[n] = state or n.path in low
+            return state
+
+        kept = [t for t, own, _ in found if not removed(own)] if low else []
+        return "\n\n".join(kept or [t for t, _, _ in found])
+
+
+def _joined(pieces: Iterable[str]) -> str:
+    return " ".join(html.unescape("".join(pieces)).split())
 
 
 def _key(text: str) -> int:
@@ -195,15 +236,16 @@ def _key(text: str) -> int:
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, path, style, content) of each page's containers."""
+    """(host, page, path, style, content) of each page's elements; equal pages of a host have one number."""
     for batch in batches:
         out: list[tuple] = []
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if source:
                 page = Page(source)
-                out += [(host, _key(p), _key(" ".join(n.children)), _key("\n".join(n.text))) for p, n in page.containers.items()]
-        columns = list(zip(*out)) if out else [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["host", "path", "style", "content"])
+                number = _key(source)
+                out += [(host, number, p, style, content) for p, (style, content) in page.nodes.items()]
+        columns = list(zip(*out)) if out else [[], [], [], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["host", "page", "path", "style", "content"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +255,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for source, paths in zip(batch.column(2).to_pylist(), low):
             page = Page(source or "")
             own = set(paths or ())
-            texts.append(page.text({p for p in page.containers if _key(p) in own} if own else frozenset()))
+            texts.append(page.text(own))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
 
 
@@ -237,13 +279,13 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     """(id, url, text, n_chars): the main text of every page; "" if there is none or html is null.
 
     Character references are decoded, white space in a block becomes one space, blocks are joined in page order
-    by two newlines.  Containers need min_pages pages of their host to be judged; pages without a host share the
+    by two newlines.  Elements need min_pages distinct pages of their host to be judged; pages without a host share the
     empty one; equal pages are judged alike; an empty table gives no rows.
     """
     spark = pages.sparkSession
     scratch = Scratch(spark, name)
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    nodes = rows.where("html is not null").select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_nodes, "host string, path bigint, style bigint, content bigint")
+    nodes = rows.where("html is not null").select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_nodes, "host string, page bigint, path bigint, style bigint, content bigint").dropDuplicates(["host", "page", "path"])
     low = importance(scratch.cut(nodes, "nodes")).where((F.col("pages") >= min_pages) & (F.col("importance") < threshold))
     low = scratch.cut(low.groupBy(F.col("host").alias("h")).agg(F.collect_set("path").alias("low")), "low")
     side = F.broadcast(low) if (low.agg(F.sum(F.size("low"))).first()[0] or 0) <= BROADCAST_NODES else low

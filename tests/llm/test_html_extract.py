@@ -40,3 +40,14 @@ def test_equal_articles_stay(spark):
     df = spark.createDataFrame([(i, "http://c.example/x", page) for i in range(9)], "page_id long, url string, html string")
     assert {r.text for r in hx.extract(df).collect()} == {"T\n\nSame text"}
     assert hx.extract(df.where("false")).collect() == []
+
+
+def test_unnamed_elements_and_copies(spark):
+    page = lambda i: f"<div><p>Same on all</p><table><tr><td>row</td></tr></table></div><div><p>own {i}</p></div>"
+    one = "<div><p>text of a host with one page</p></div>"
+    article = lambda i: f"<article><div class='box'>stays</div><p>{i}</p></article>"
+    rows = [(i, "http://a.example/", page(i)) for i in range(6)] + [(20 + i, "http://a.example/", page(0)) for i in range(200)]
+    rows += [(300 + i, "http://b.example/", one) for i in range(9)] + [(400 + i, "http://c.example/", article(i)) for i in range(9)]
+    got = {r.page_id: r.text for r in hx.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"own {i}" for i in range(6)) and got[20] == "own 0"  # 200 copies are one page
+    assert got[300] == "text of a host with one page" and got[403] == "stays\n\n3"
