@@ -64,14 +64,13 @@ def _attributes(raw: str) -> dict[str, str]:
 def _prior(tag: str, attrs: dict[str, str], inside_article: bool):
     if tag in NOISE_TAGS or "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
         return 0
-    if tag == "header" and not inside_article:
-        return 0
-    if attrs.get("role", "").lower() in NOISE_ROLES:
-        return 0
-    if tag not in ("html", "body", "p") and NOISE_WORDS.intersection(_WORD.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())):
-        return 0
-    if tag in ("article", "main") or attrs.get("role", "").lower() == "main":
+    role = attrs.get("role", "").lower()
+    if tag in ("article", "main") or role == "main":
         return 1
+    if (tag == "header" and not inside_article) or role in NOISE_ROLES:
+        return 0
+    if tag not in ("html", "body", "p") and not (inside_article and tag in TITLES) and NOISE_WORDS.intersection(_WORD.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())):
+        return 2
     return None
 
 

@@ -42,6 +42,13 @@ def test_equal_articles_stay(spark):
     assert hx.extract(df.where("false")).collect() == []
 
 
+def test_names_do_not_outweigh_the_article():
+    assert hx.Page("<main class='content has-sidebar'><p>a</p></main>").text() == "a"
+    assert hx.Page("<article class='post no-comments'><header class='entry-header'><h1 class='article-header'>T</h1></header><p>a</p></article>").text() == "T\n\na"
+    assert hx.Page("<div id='layout-with-sidebar'><article><p>a</p></article><div class='sidebar'>x</div></div>").text() == "a"
+    assert hx.Page("<div class='with-sidebar'><p>long enough text</p></div><p>b</p>").text() == "long enough text\n\nb"
+
+
 def test_unnamed_elements_and_copies(spark):
     page = lambda i: f"<div><p>Same on all</p><table><tr><td>row</td></tr></table></div><div><p>own {i}</p></div>"
     one = "<div><p>text of a host with one page</p></div>"
