@@ -8,8 +8,10 @@ absent (unit tests on one machine) a temporary folder is made.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,22 @@ def shared_root(spark: SparkSession) -> str:
     return _own["dir"]
 
 
+#: Rows of one Arrow batch while a table is written: texts of many kilobytes must fit an executor's memory.
+ARROW_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextlib.contextmanager
+def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> Iterator[None]:
+    """Batches of at most so many rows in what runs inside; the session's own setting comes back after."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 class Scratch:
     """A folder of one query run. ``cut`` writes a table and reads it back; the folder goes at exit."""
 
@@ -42,7 +60,8 @@ class Scratch:
     def cut(self, df: DataFrame, label: str) -> DataFrame:
         """Write df as Parquet in the shared folder and return it as read from there."""
         at = self.path(label)
-        df.write.parquet(at)
+        with arrow_rows(self.spark):
+            df.write.parquet(at)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._scratch = (self, at)
         return out

@@ -13,19 +13,35 @@ WHOLE = Tokenizer.from_file(PATH)
 MEMO = token_orc.Encoder(PATH)
 
 
+def encoded(encoder, texts):
+    raw = [t.encode() for t in texts]
+    ids, sizes = encoder.batch(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)]))
+    return [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.one_of(st.text(), st.sampled_from(["<|startoftext|>", "<|endoftext|>", "it's", "I'LL", "é", "é", " ́", "\x85", " ", "\x1c", "x.", "a<|startoftext|>b", "İ", "Σ", "Été.", "NAÏVE,", "ÿ.,", "it.s", "WORD.", "ﬁ", "ſ", "K", "µ", "ß"])), max_size=8), st.sampled_from([" ", "\n", "", "  ", "\t"]))
 def test_pieces_encode_as_whole_texts(parts, by):
     text = by.join(parts)
-    assert MEMO.memo is not None
-    assert [list(i) for i in MEMO.batch([text, "next", text])] == [WHOLE.encode(t, add_special_tokens=False).ids for t in (text, "next", text)]
+    assert MEMO.table is not None
+    assert encoded(MEMO, [text, "next", text]) == [WHOLE.encode(t, add_special_tokens=False).ids for t in (text, "next", text)]
 
 
 def test_other_tokenizers_encode_whole_texts():
     path = public_tokenizers.path("byte_bpe_50k.json")
     encoder = token_orc.Encoder(path)
-    assert encoder.memo is None
-    assert list(encoder.batch([" a b"])[0]) == Tokenizer.from_file(path).encode(" a b", add_special_tokens=False).ids
+    assert encoder.table is None
+    assert encoded(encoder, [" a b", ""])[0] == Tokenizer.from_file(path).encode(" a b", add_special_tokens=False).ids
+
+
+def test_a_full_table_starts_again_and_a_batch_beyond_it_is_not_remembered(monkeypatch):
+    monkeypatch.setattr(token_orc, "SLOTS", 64)
+    monkeypatch.setattr(token_orc, "POOL", 256)
+    encoder = token_orc.Encoder(PATH)
+    for n in (5, 20, 31, 200, 3, 40, 33):
+        texts = [f"the word w{i} of{i % 7} and, a-very-long-piece-of-text-{i}." for i in range(n)] + ["", " "]
+        assert encoded(encoder, texts) == [WHOLE.encode(t, add_special_tokens=False).ids for t in texts]
+        assert encoder.table.n <= 32 and len(encoder.table.slots) == 64
 
 
 def test_round_trip(spark, tmp_path):
