@@ -17,6 +17,8 @@ ASSIGN = "(?i:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?
 ACCESS = "AKIA[A-Z0-9]{16,}+"
 HEX = "(?<![0-9a-f])[0-9a-f]{24,}+"
 KINDS = ("assign", "access", "hex", "live")
+#: Values that hold 1 / HOT_SHARE of all candidates or more are broadcast: HOT_SHARE rows at most.
+HOT_SHARE = 1000
 
 
 def base_spans(text: Column) -> Column:
@@ -63,13 +65,18 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", own
     """
     scratch = Scratch(docs.sparkSession, name)
     found = candidates(docs, scratch, id_col=id_col, text_col=text_col, owner_col=owner_col, repo_col=repo_col or id_col)
-    held = ownership(found)
+    held = scratch.cut(ownership(found), "held")
     live = F.when((F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos), F.lit(True)).otherwise(F.lit(False))
+    held = held.select("value_hash", live.alias("own"), "n_occurrences")
+    # a value of at least 1 / HOT_SHARE of all candidates is hot: there are HOT_SHARE such at most, which go to the rows
+    least = F.lit((held.agg(F.sum("n_occurrences")).first()[0] or 0) / HOT_SHARE)
+    hot, cold = held.where(F.col("n_occurrences") >= least).drop("n_occurrences"), held.where(F.col("n_occurrences") < least).drop("n_occurrences")
     each = found.where(F.size("base") > 0).select("id", "key", F.explode("base").alias("s")).distinct().withColumn("value_hash", F.sha2("s.value", 256))
-    each = each.join(held.select("value_hash", live.alias("own")), "value_hash")
+    tagged = each.join(F.broadcast(hot.select(F.col("value_hash").alias("h"), F.col("own").alias("hot_own"))), F.col("value_hash") == F.col("h"), "left").drop("h")
+    each = tagged.where("hot_own is not null").withColumnRenamed("hot_own", "own").unionByName(tagged.where("hot_own is null").drop("hot_own").join(cold, "value_hash"))
     span = F.struct((F.col("s.end") - F.length("s.value")).alias("start"), F.lit(3).alias("kind_no"), F.col("s.end").alias("end"), F.lit("live").alias("kind"), F.lit(None).cast("string").alias("value"))
     judged = each.groupBy("id", "key").agg(F.collect_set(F.when(F.col("own") & (_bits(F.col("s.value")) >= min_bits), span)).alias("live"), F.count_if(~F.col("own")).alias("n_copied"))
-    judged = scratch.cut(judged.select(F.col("id").alias("i"), F.col("key").alias("k"), "live", "n_copied"), "judged")
+    judged = judged.select(F.col("id").alias("i"), F.col("key").alias("k"), "live", "n_copied")
     has = F.size("base") > 0
     # rows without candidates meet nothing: their key is null and stays out of the join's shuffle groups
     out = found.withColumn("jk", F.when(has, F.col("key"))).join(judged, F.col("id").eqNullSafe(F.col("i")) & (F.col("jk") == F.col("k")), "left")
