@@ -344,7 +344,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     scratch = Scratch(pages.sparkSession, name)
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), host_of(F.col(url_col).cast("string")).alias("host"), F.monotonically_increasing_id().alias("row"), F.col(html_col).cast("string").alias("html"))
     id_type = rows.schema["id"].dataType.simpleString()
-    read = scratch.cut(rows.mapInArrow(_parse, f"id {id_type}, url string, host string, row bigint, page bigint, {_PARSED}"), "parsed")
+    read = scratch.cut(rows.mapInArrow(_parse, f"id {id_type}, url string, host string, row bigint, page bigint, {_PARSED}"), "parsed", "zstd")
     low = scratch.cut(low_nodes(read, min_pages, threshold), "low")
     if low.count() <= BROADCAST_NODES:
         of_host = low.groupBy(F.col("host").alias("h")).agg(F.collect_set("path").alias("low"))

@@ -1,11 +1,12 @@
 """Mixing sources to target weights by index: blocks, quotas, shard draws and index permutations.
 
 The words of each source, its documents one after the other in a fixed pseudorandom order, are packed into blocks
-of equal length.  A source's target gives its number of slots; every slot falls to an output shard, so a source's
-counts over the shards are one multinomial draw that adds up to its quota.  Slot i maps to a block through a
-pseudorandom permutation of the source's block numbers, one permutation for each round through the source; blocks
-are joined to documents by index.  Nothing about a source is gathered in one place: offsets are sums over hashed
-chunks, and slots are made in pieces.
+of equal length.  A source's target gives its number of slots; every slot is drawn to an output shard, so the counts of a
+shard's sources are a multinomial draw given the quotas.  Slot i maps to a block through a pseudorandom permutation of
+the source's block numbers, one permutation for each turn through the source; blocks are joined to documents by
+index.  The mix is what the shards hold: a row of ``mix_blocks`` for each part of a document in each slot, and all other
+results are sums over it or are laid out by it.  Nothing about a source is gathered in one place: offsets are sums over
+hashed chunks, and slots are made in pieces.
 """
 
 from __future__ import annotations
@@ -44,19 +45,24 @@ def permute(i: np.ndarray, n: int, key: int) -> np.ndarray:
     return x.astype(np.int64)
 
 
+def slots_of(source: int, n: int, lo: int, hi: int, shards: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shard, turn, block) of the slots lo..hi of a source of n blocks."""
+    i = np.arange(lo, hi, dtype=np.int64)
+    turn, block = i // n, np.empty(len(i), np.int64)
+    for t in range(int(lo // n), int((hi - 1) // n) + 1):
+        block[turn == t] = permute(i[turn == t] % n, n, (seed << 40) + (source << 8) + t)
+    draw = mix(i.astype(U) + mix(np.full(1, (seed << 40) + source, dtype=U)))
+    return (draw % U(shards)).astype(np.int64), turn, block
+
+
 def _slots(seed: int, shards: int):
-    """Pieces of slot numbers to (source_no, shard, block)."""
+    """Pieces of slot numbers to (source_no, shard, turn, block)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for source, n, lo, hi in zip(*(batch.column(c).to_pylist() for c in range(4))):
-                i = np.arange(lo, hi, dtype=np.int64)
-                block = np.empty(len(i), np.int64)
-                for round_no in range(int(lo // n), int((hi - 1) // n) + 1):
-                    own = i // n == round_no
-                    block[own] = permute(i[own] % n, n, (seed << 40) + (source << 8) + round_no)
-                draw = mix(i.astype(U) + mix(np.full(1, (seed << 40) + source, dtype=U)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), source, np.int64)), pa.array((draw % U(shards)).astype(np.int64)), pa.array(block)], ["source_no", "shard", "block"])
+                shard, turn, block = slots_of(source, n, lo, hi, shards, seed)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(block), source, np.int64)), pa.array(shard), pa.array(turn.astype(np.int32)), pa.array(block)], ["source_no", "shard", "turn", "block"])
 
     return run
 
@@ -88,7 +94,7 @@ def sources_of(rows: DataFrame, scratch: Scratch, weights: tuple[int, ...], budg
 
 
 def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, budget, cap: int, block_words: int, seed: int, name: str):
-    """Rows with offsets; (row, block, first word, words, times taken); the scratch; slots by shard."""
+    """Rows with offsets, and the mix: (source_no, off, shard, turn, block, first word, words) of each part of a row in a slot."""
     spark = docs.sparkSession
     scratch = Scratch(spark, name)
     text = F.col(text_col).cast("string")
@@ -113,64 +119,79 @@ def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights,
     slots_n = made.agg(F.sum("q")).first()[0] or 0
     pieces = made.select("source_no", "n", F.explode(F.expr(f"sequence(0L, q - 1, {PIECE}L)")).alias("lo"), "q").select("source_no", "n", "lo", F.least("q", F.col("lo") + PIECE).alias("hi"))
     shards = max(1, -(-slots_n // SHARD_SLOTS))
-    slots = pieces.repartition(max(1, min(4096, -(-slots_n // PIECE)))).mapInArrow(_slots(seed, shards), "source_no bigint, shard bigint, block bigint")
-    times = slots.groupBy("source_no", "block").agg(F.count(F.lit(1)).alias("times"))
+    slots = pieces.repartition(max(1, min(4096, -(-slots_n // PIECE)))).mapInArrow(_slots(seed, shards), "source_no bigint, shard bigint, turn int, block bigint")
 
     at = F.explode(F.expr(f"sequence(off div {block_words}, (off + size - 1) div {block_words})")).alias("block")
     own = rows.where("size > 0").select("source_no", "off", "size", at)
-    own = own.join(times.hint("merge"), ["source_no", "block"])  # both sides grow with the corpus
+    own = own.join(slots.hint("merge"), ["source_no", "block"])  # both sides grow with the corpus
     first = F.greatest(F.col("off"), F.col("block") * block_words)
     words = F.least(F.col("off") + F.col("size"), (F.col("block") + 1) * block_words) - first
-    own = own.select("source_no", "off", (first - F.col("off")).alias("first"), words.alias("words"), "times")
-    return scratch, rows, own, slots
+    return rows, own.select("source_no", "off", "shard", "turn", "block", (first - F.col("off")).alias("first"), words.alias("words"))
+
+
+def mix_blocks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), budget: tuple[int, int] = (3, 2), cap: int = 2, block_words: int = BLOCK_WORDS, seed: int = 17) -> DataFrame:
+    """(shard, source_no, turn, block, id, first, words): what each output shard holds, a row for each part of a document
+    in a block; first counts the words of the document before. See mix_sources for the rest."""
+    rows, own = _plan(docs, id_col, text_col, source_col, weights, budget, cap, block_words, seed, "blocks")
+    own = own.join(rows.where("size > 0").select("source_no", "off", "id"), ["source_no", "off"])
+    return own.select("shard", "source_no", "turn", "block", F.col("id").alias(id_col), "first", "words")
 
 
 def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), budget: tuple[int, int] = (3, 2), cap: int = 2, block_words: int = BLOCK_WORDS, seed: int = 17) -> DataFrame:
-    """(id, size, source_size, target, taken) for each row of docs.
+    """(id, size, source_size, target, taken, n_shards) for each row of docs.
 
     size counts the words of the whole text (a null text has none); sources, ordered by code point with null
     last, take the weights in turn and share budget times all words; a target stops at ``cap`` times its
-    source's size and the excess is shared again by weight.  taken counts the words of the document in the mix,
-    repeats included: at most cap times its size, and for a source as near its target as whole blocks allow.
-    Same rows and seed, same result, in whatever order or partitions the rows come.  A null source is a source;
-    repeated rows are documents of their own; an empty table or one without words takes nothing.
+    source's size and the excess is shared again by weight.  taken counts the words of the document in all shards of the
+    mix, repeats included: at most cap times its size, and for a source as near its target as whole blocks allow; n_shards
+    the shards that hold part of it.
+    Same rows and seed, same result, in whatever order or partitions the rows come: ties among rows of one id and text
+    are between equals.  A null source is a source; repeated rows are documents of their own; a text of any length is
+    counted as a whole; what other columns are called plays no part; an empty table gives no rows, one without words
+    takes nothing.
     """
-    scratch, rows, own, _ = _plan(docs, id_col, text_col, source_col, weights, budget, cap, block_words, seed, "mix")
-    taken = own.groupBy("source_no", "off").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    rows, own = _plan(docs, id_col, text_col, source_col, weights, budget, cap, block_words, seed, "mix")
+    by_shard = own.groupBy("source_no", "off", "shard").agg(F.sum("words").alias("w"))
+    taken = by_shard.groupBy("source_no", "off").agg(F.sum("w").alias("taken"), F.count(F.lit(1)).alias("n_shards"))
     # rows without words share an offset with the next document: they must not match
     out = rows.withColumn("key", F.when(F.col("size") > 0, F.col("off"))).join(taken.withColumnRenamed("off", "key").hint("merge"), ["source_no", "key"], "left")
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
+    none = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", none("taken"), none("n_shards"))
 
 
 def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), budget: tuple[int, int] = (3, 2), cap: int = 2, block_words: int = BLOCK_WORDS, seed: int = 17) -> DataFrame:
-    """The mix itself, with the columns of docs: a row for each time (up to cap) that blocks of a document occur.
+    """The mix itself, with the columns of docs, in the order of its shards: a row for each turn (up to cap) in which
+    blocks of a document occur, in the shard of the first of them.
 
     A row whose blocks are all taken keeps its text as it is; of others the words of the blocks taken stay,
-    joined by a space.  n_chars, where there is one, is counted anew.  Documents that the mix leaves out go.
+    joined by a space.  n_chars, where there is one, is counted anew.  Documents that the mix leaves out go, those
+    without words among them.
     """
-    scratch, rows, own, _ = _plan(docs, id_col, text_col, source_col, weights, budget, cap, block_words, seed, "mixed")
-    parts = own.groupBy("source_no", "off").agg(F.sort_array(F.collect_list(F.struct("first", "words", "times"))).alias("__parts"))
+    rows, own = _plan(docs, id_col, text_col, source_col, weights, budget, cap, block_words, seed, "mixed")
+    parts = own.groupBy("source_no", "off").agg(F.sort_array(F.collect_list(F.struct("first", "words", "turn", "shard"))).alias("parts"))
     # rows of the same id and text are told apart by source and number
     number = F.row_number().over(Window.partitionBy("id", "h").orderBy("source_no", "off"))
     repeated = not rows.where("size > 0").groupBy("id", "h").count().where("count > 1").limit(1).isEmpty()
-    named = rows.where("size > 0").withColumn("__n", number if repeated else F.lit(1)).join(parts.hint("merge"), ["source_no", "off"])
+    named = rows.where("size > 0").withColumn("n", number if repeated else F.lit(1)).join(parts.hint("merge"), ["source_no", "off"])
     return _with_text(docs, named, id_col, text_col, source_col, cap, repeated)
 
 
 def _with_text(docs: DataFrame, named: DataFrame, id_col: str, text_col: str, source_col: str, cap: int, repeated: bool) -> DataFrame:
-    columns = docs.columns
-    text = F.col(text_col).cast("string")
-    keyed = docs.withColumns({"__id": F.col(id_col), "__h": F.xxhash64(text)})
+    """The rows of docs stay in one column, so that none of their names can clash with one in here."""
+    text = F.col(f"row.`{text_col}`").cast("string")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).select("row", F.col(f"row.`{id_col}`").alias("id"), F.xxhash64(text).alias("h"))
     # only where id and text repeat do the texts have to be sorted to number their rows
-    keyed = keyed.withColumn("__n", F.row_number().over(Window.partitionBy("__id", "__h").orderBy(F.asc_nulls_last(source_col))) if repeated else F.lit(1))
-    named = named.select(F.col("id").alias("__id"), F.col("h").alias("__h"), F.col("__n"), "__parts", F.col("size").alias("__size"))
-    out = keyed.join(named.hint("merge"), keyed["__id"].eqNullSafe(named["__id"]) & (keyed["__h"] == named["__h"]) & (keyed["__n"] == named["__n"])).drop("__h", "__n", "__id")
-    kept = lambda c: F.filter("__parts", lambda p: p["times"] >= c)
-    whole: Column = F.aggregate(kept(F.col("__copy")), F.lit(0).cast("bigint"), lambda a, p: a + p["words"]) == F.col("__size")
-    out = out.withColumn("__copy", F.explode(F.expr(f"sequence(1, {cap})"))).where(F.size(kept(F.col("__copy"))) > 0)
-    cut = lambda w: F.flatten(F.transform(kept(F.col("__copy")), lambda p: F.slice(w, (p["first"] + 1).cast("int"), p["words"].cast("int"))))
+    keyed = keyed.withColumn("n", F.row_number().over(Window.partitionBy("id", "h").orderBy(F.asc_nulls_last(f"row.`{source_col}`"))) if repeated else F.lit(1))
+    named = named.select(F.col("id").alias("i"), F.col("h").alias("k"), F.col("n").alias("m"), "parts", "size")
+    out = keyed.join(named.hint("merge"), F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("k")) & (F.col("n") == F.col("m"))).select("row", "parts", "size")
+    mine = F.filter("parts", lambda p: p["turn"] == F.col("turn"))
+    out = out.withColumn("turn", F.explode(F.expr(f"sequence(0, {cap - 1})"))).withColumn("parts", mine).where(F.size("parts") > 0)
+    whole: Column = F.aggregate("parts", F.lit(0).cast("bigint"), lambda a, p: a + p["words"]) == F.col("size")
+    cut = lambda w: F.flatten(F.transform("parts", lambda p: F.slice(w, (p["first"] + 1).cast("int"), p["words"].cast("int"))))
     # the words are bound once a row: inside the inner lambda they would be found again for every block
     some = F.array_join(F.get(F.transform(F.array(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), cut), F.lit(0)), " ")
-    out = out.withColumn("__text", F.when(whole, text).otherwise(some))
-    pick = {text_col: F.col("__text"), "n_chars": F.length("__text").cast("bigint")}
-    return out.select(*[pick[c].alias(c) if c in pick else F.col(f"`{c}`") for c in columns])
+    out = out.withColumn("t", F.when(whole, text).otherwise(some))
+    out = out.select("row", "t", F.col("parts")[0]["shard"].alias("shard"), F.xxhash64("t").alias("h"))
+    out = out.repartitionByRange("shard", "h").sortWithinPartitions("shard", "h")
+    pick = {text_col: F.col("t"), "n_chars": F.length("t").cast("bigint")}
+    return out.select(*[pick[c].alias(c) if c in pick else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -57,11 +57,11 @@ class Scratch:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{label}"
 
-    def cut(self, df: DataFrame, label: str) -> DataFrame:
+    def cut(self, df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
         """Write df as Parquet in the shared folder and return it as read from there."""
         at = self.path(label)
         with arrow_rows(self.spark):
-            df.write.parquet(at)
+            df.write.option("compression", codec).parquet(at)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._scratch = (self, at)
         return out
