@@ -2,8 +2,9 @@
 
 For each language a probability of every vocabulary piece; a word's probability is the sum over all ways to cut it
 into pieces, by the forward algorithm; a text's score is the product over its words.  Piece probabilities are
-fitted by expectation-maximisation (forward-backward) on word counts of a bounded sample of labelled documents,
-the priors are the languages' shares among all documents that may be learned from.
+fitted by expectation-maximisation (forward-backward) on word counts of a bounded sample of labelled documents: the
+executors sum expected counts, the driver holds one table of pieces by languages.  The priors are the languages' shares
+among all documents that may be learned from.
 """
 
 from __future__ import annotations
@@ -18,23 +19,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from locusframe.llm.scratch import Scratch
 from locusframe.llm.wordhash import U, mix
 
-#: Bounds of the fit: documents a language (expected), distinct (language, word) counts, languages.
-FIT_DOCS, FIT_WORDS, MAX_LANGS = 500, 250_000, 256
-EM_ROUNDS, MAX_PIECE, MAX_WORD = 4, 12, 48
+#: Documents a language (expected) that piece probabilities are fitted on, and rounds of the fit.
+FIT_DOCS, EM_ROUNDS = 500, 4
+#: Letters of words, padding included, that one vectorised pass takes (a longer word is a pass of its own).
+PASS_LETTERS = 200_000
+#: Forward sums are scaled anew after so many letters.
+SCALE_EVERY = 8
 #: Probability of a letter that is in no piece, alike for all languages.
 UNKNOWN = 1e-9
+#: Unit of expected counts: sums of whole numbers do not depend on their order.
+UNIT = 1 << 20
 _LETTERS = re.compile(r"[^\W\d_]+")
 _BASE = U(0x9E3779B97F4A7C15) | U(1)
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, lower-cased; a run longer than MAX_WORD is read in pieces of that length."""
-    found = _LETTERS.findall((text or "").lower())
-    if any(len(w) > MAX_WORD for w in found):
-        found = [w[i : i + MAX_WORD] for w in found for i in range(0, len(w), MAX_WORD)]
-    return found
+    """Runs of letters of any length, lower-cased."""
+    return _LETTERS.findall((text or "").lower())
 
 
 def has_letter(words: list[str]) -> bool:
@@ -42,10 +46,10 @@ def has_letter(words: list[str]) -> bool:
 
 
 class Lattice:
-    """Finds vocabulary pieces at all places of many words of one length at once."""
+    """Finds vocabulary pieces at all places of many words at once."""
 
     def __init__(self, pieces: list[str]):
-        self.n = len(pieces)
+        self.n, self.longest = len(pieces), max(map(len, pieces), default=1)
         keys = np.array([self._key(p) for p in pieces], dtype=U)
         self.bits = max(8, int(2 * max(1, self.n) - 1).bit_length() + 2)
         self.table = np.full(1 << self.bits, -1, dtype=np.int32)
@@ -76,23 +80,22 @@ class Lattice:
             wrong &= (out >= 0) & (self.keys[out] != key)
         return out
 
-    def edges(self, words: list[str]) -> list[list[tuple[int, np.ndarray]]]:
-        """For words of one length (the mark of a word's start included): at each end, (length, pieces)."""
-        n = len(words[0])
-        code = np.array([[ord(c) for c in w] for w in words], dtype=U)
+    def edges(self, words: list[str], n: int) -> list[list[tuple[int, np.ndarray]]]:
+        """For words (the mark of a word's start included) of up to n characters: at each end, (length, pieces)."""
+        code = np.zeros((n, len(words)), dtype=U)
+        for i, w in enumerate(words):
+            code[: len(w), i] = np.frombuffer(w.encode("utf-32-le"), dtype="<u4")
         prefix = np.zeros((n + 1, len(words)), dtype=U)
         power = np.ones(n + 1, dtype=U)
         for i in range(n):
-            prefix[i + 1] = prefix[i] * _BASE + code[:, i]
+            prefix[i + 1] = prefix[i] * _BASE + code[i]
             power[i + 1 : i + 2] = power[i : i + 1] * _BASE
-        out = []
-        for e in range(1, n + 1):
-            here = []
-            for size in range(1, min(MAX_PIECE, e) + 1):
-                piece = self.lookup(prefix[e] - prefix[e - size] * power[size])
-                if size == 1 or (piece >= 0).any():
-                    here.append((size, piece))
-            out.append(here)
+        out: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(n)]
+        for size in range(1, min(self.longest, n) + 1):
+            piece = self.lookup((prefix[size:] - prefix[:-size] * power[size]).ravel()).reshape(n + 1 - size, -1)
+            some = (piece >= 0).any(axis=1)
+            for at in range(n + 1 - size) if size == 1 else np.flatnonzero(some).tolist():
+                out[at + size - 1].append((size, piece[at]))
         return out
 
 
@@ -110,72 +113,148 @@ class Model:
     def rows(self, size: int, piece: np.ndarray) -> np.ndarray:
         return np.where(piece >= 0, piece, len(self.pieces) if size == 1 else len(self.pieces) + 1)
 
-    def forward(self, edges) -> tuple[np.ndarray, np.ndarray]:
-        """Scaled forward sums (ends x words x languages) and the log scale of each (words x languages)."""
-        first = edges[0][0][1]
-        alpha = np.zeros((len(edges) + 1, len(first), len(self.langs)))
-        alpha[0] = 1
-        for e, here in enumerate(edges, 1):
-            for size, piece in here:
-                alpha[e] += alpha[e - size] * self.prob[self.rows(size, piece)]
-        return alpha
+    def forward(self, edges, columns=slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """Forward sums (ends + 1 x words x languages), each to be multiplied by exp of its scale (same shape)."""
+        return _scaled(edges, self.prob[:, columns], self.rows, np.ones((len(edges[0][0][1]), self.prob[:, columns].shape[1])), 0)
 
     def score(self, words: list[str]) -> np.ndarray:
         """Log probability of each word in each language, summed over all segmentations."""
         out = np.empty((len(words), len(self.langs)))
-        for own, marked in _by_length(words):
-            out[own] = np.log(np.maximum(self.forward(self.lattice.edges(marked))[-1], 1e-300))
+        for own, marked, size in _by_length(words):
+            n = np.array([len(w) for w in marked])
+            alpha, scale = self.forward(self.lattice.edges(marked, size))
+            at = np.arange(len(marked))
+            out[own] = np.log(alpha[n, at]) + scale[n, at]
         return out
 
-
-def _by_length(words: list[str], most: int = 20_000) -> Iterator[tuple[np.ndarray, list[str]]]:
-    size = np.array([len(w) for w in words])
-    for n in np.unique(size):
-        own = np.flatnonzero(size == n)
+    def expected(self, words: list[str], times: np.ndarray, lang: int) -> np.ndarray:
+        """Expected uses of each piece in words of a language that occur so many times."""
+        out = np.zeros(len(self.pieces) + 2)
+        prob, column = self.prob[:, [lang]], slice(lang, lang + 1)
+        for own, marked, size in _by_length(words):
+            n, at = np.array([len(w) for w in marked]), np.arange(len(marked))
+            edges = self.lattice.edges(marked, size)
+            alpha, up = self.forward(edges, column)
+            whole = np.log(alpha[n, at]) + up[n, at]
+            beta, down = _backward(edges, prob, self.rows, n)
+            for e, here in enumerate(edges, 1):
+                inside = (n >= e)[:, None]
+                for length, piece in here:
+                    row = self.rows(length, piece)
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        use = np.where(inside, alpha[e - length] * prob[row] * beta[e] * np.exp(up[e - length] + down[e] - whole), 0.0)
+                    out += np.bincount(row, use[:, 0] * times[own], len(out))
+        return out[:-2]
+
+
+def _scaled(edges, prob: np.ndarray, rows, start: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
+    alpha, scale = np.zeros((len(edges) + 1, *start.shape)), np.zeros((len(edges) + 1, *start.shape))
+    alpha[at] = start
+    since, log = 0, np.zeros(start.shape)
+    for e, here in enumerate(edges, 1):
+        for size, piece in here:
+            part = alpha[e - size] * prob[rows(size, piece)]
+            alpha[e] += part if e - size >= since else part * np.exp(scale[e - size] - log)
+        if e % SCALE_EVERY == 0:  # every word and language by itself
+            top = alpha[e]
+            log = log + np.log(top)
+            alpha[e] = 1.0
+            since = e
+        scale[e] = log
+    return alpha, scale
+
+
+def _backward(edges, prob: np.ndarray, rows, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Backward sums and their scales, as in forward; words end after n letters each."""
+    m, width = len(n), prob.shape[1]
+    beta, scale = np.zeros((len(edges) + 1, m, width)), np.zeros((len(edges) + 1, m, width))
+    after: list[list[tuple[int, np.ndarray]]] = [[] for _ in range(len(edges) + 1)]
+    for e, here in enumerate(edges, 1):
+        for size, piece in here:
+            after[e - size].append((size, piece))
+    log = np.zeros((m, width))
+    for e in range(len(edges), -1, -1):
+        beta[e][n == e] = 1.0
+        for size, piece in after[e]:
+            beta[e] += np.where((n >= e + size)[:, None], beta[e + size] * prob[rows(size, piece)] * np.exp(scale[e + size] - log), 0.0)
+        if e % SCALE_EVERY == 0:
+            top = np.where(beta[e] > 0, beta[e], 1.0)
+            log = log + np.log(top)
+            beta[e] /= top
+        scale[e] = log
+    return beta, scale
+
+
+def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, list[str], int]]:
+    """(numbers, words with the mark of a word's start, most characters): words of like length together."""
+    size = np.array([len(w) + 1 for w in words])
+    bound = np.where(size <= 25, size, np.ceil(25 * 1.25 ** np.ceil(np.log(np.maximum(size, 25) / 25) / np.log(1.25) - 1e-9) + 1e-6)).astype(np.int64)
+    for n in np.unique(bound):
+        own = np.flatnonzero(bound == n)
+        most = max(1, PASS_LETTERS // int(n))
         for lo in range(0, len(own), most):
             part = own[lo : lo + most]
-            yield part, ["▁" + words[i] for i in part]
+            yield part, ["▁" + words[i] for i in part], int(size[part].max())
 
 
 def vocabulary(path: str) -> list[str]:
-    """The lower-case letter pieces of a sentencepiece model, up to MAX_PIECE characters, its word mark included."""
+    """The lower-case letter pieces of a sentencepiece model, its word mark included."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     found = (sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)))
-    return sorted({p for p in found if len(p) <= MAX_PIECE and p == p.lower() and (p.replace("▁", "") or "a").isalpha() and "▁" not in p[1:]} | {"▁"})
+    return sorted({p for p in found if p == p.lower() and (p.replace("▁", "") or "a").isalpha() and "▁" not in p[1:]} | {"▁"})
 
 
-def fit(pieces: list[str], counts: list[tuple[str, str, int]], shares: dict[str, int], rounds: int = EM_ROUNDS) -> Model:
-    """counts: (language, word, times). Expectation-maximisation of the piece probabilities, lightly smoothed."""
+def untrained(pieces: list[str], shares: dict[str, int]) -> Model:
+    """Pieces that are likelier the shorter they are, and the languages' priors."""
     langs = sorted(shares)
-    total = sum(shares.values())
-    prior = np.log(np.array([shares[l] / total for l in langs]))
-    column = {l: i for i, l in enumerate(langs)}
-    words = sorted({w for _, w, _ in counts})
-    number = {w: i for i, w in enumerate(words)}
-    times = np.zeros((len(words), len(langs)))
-    for l, w, n in counts:
-        if l in column:
-            times[number[w], column[l]] += n
-    size = np.array([len(p) for p in pieces])
-    start = (0.1 / size.clip(1) ** 2)[:, None].repeat(len(langs), axis=1)
-    model = Model(pieces, langs, prior, start / start.sum(axis=0))
-    lattices = [(own, model.lattice.edges(marked)) for own, marked in _by_length(words)]
+    prior = np.log(np.array([shares[l] / sum(shares.values()) for l in langs]))
+    start = (0.1 / np.array([len(p) for p in pieces]).clip(1) ** 2)[:, None].repeat(len(langs), axis=1)
+    return Model(pieces, langs, prior, start / start.sum(axis=0))
+
+
+def better(model: Model, expected: np.ndarray) -> Model:
+    """The next model from expected uses (pieces x languages), lightly smoothed."""
+    prob = expected + 0.01
+    return Model(model.pieces, model.langs, model.log_prior, prob / prob.sum(axis=0))
+
+
+def _expect(model):
+    """(language, word, times) to (piece, language, expected uses in UNIT)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: Model = model.value
+        number = {l: i for i, l in enumerate(own.langs)}
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            by: dict[int, tuple[list[str], list[int]]] = {}
+            for lang, word, n in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                words, times = by.setdefault(number[lang], ([], []))
+                words.append(word)
+                times.append(n)
+            for l, (words, times) in by.items():
+                uses = np.rint(own.expected(words, np.array(times, dtype=np.float64), l) * UNIT).astype(np.int64)
+                total[l] = total[l] + uses if l in total else uses
+        for l, uses in total.items():
+            some = np.flatnonzero(uses)
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), l, np.int32)), pa.array(uses[some])], ["piece", "lang", "uses"])
+
+    return run
+
+
+def fit(pieces: list[str], counts: DataFrame, shares: dict[str, int], rounds: int = EM_ROUNDS) -> Model:
+    """counts: (lang, word, n). Expectation-maximisation of the piece probabilities; the driver receives the summed
+    expected uses, a number for a piece and language."""
+    model = untrained(pieces, shares)
     for _ in range(rounds):
-        expected = np.zeros((len(pieces) + 2, len(langs)))
-        for own, edges in lattices:
-            alpha = model.forward(edges)
-            beta = np.zeros_like(alpha)
-            beta[-1] = times[own] / np.maximum(alpha[-1], 1e-300)
-            for e in range(len(edges), 0, -1):
-                for length, piece in edges[e - 1]:
-                    row = model.rows(length, piece)
-                    flow = model.prob[row] * beta[e]
-                    np.add.at(expected, row, alpha[e - length] * flow)
-                    beta[e - length] += flow
-        prob = expected[: len(pieces)] + 0.01
-        model = Model(pieces, langs, prior, prob / prob.sum(axis=0))
+        shared = counts.sparkSession.sparkContext.broadcast(model)
+        uses = counts.mapInArrow(_expect(shared), "piece int, lang int, uses bigint").groupBy("piece", "lang").agg(F.sum("uses").alias("uses"))
+        found = uses.toPandas()
+        expected = np.zeros((len(pieces), len(model.langs)))
+        expected[found["piece"].to_numpy(dtype=np.int64), found["lang"].to_numpy(dtype=np.int64)] = found["uses"].to_numpy(dtype=np.float64) / UNIT
+        model = better(model, expected)
+        shared.unpersist()
     return model
 
 
@@ -195,42 +274,45 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, *, vocab: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out: int = 2) -> Model:
     """Learn from rows with an id, a text and a language whose crc32(id) mod 4 is not held_out.
 
-    Shares of the languages count all of these rows.  Piece probabilities are fitted on the words of about
-    FIT_DOCS documents a language, picked by hash, of which the FIT_WORDS most frequent (language, word) counts
-    reach the driver.  Of more than MAX_LANGS languages the most frequent are learned.
+    Shares of the languages count all of these rows, and all languages are learned.  Piece probabilities are fitted on
+    all words of about FIT_DOCS documents a language, picked by hash.
     """
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & (crc_group(id_col) != held_out))
     rows = rows.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    shares = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
+    shares = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
     if not shares:
         return Model(vocabulary(vocab), [], np.zeros(0), np.zeros((0, 0)))
     of = F.create_map(*[F.lit(x) for kv in shares.items() for x in kv])[F.col("lang")]
     sample = rows.where(F.pmod(F.xxhash64("id", "text"), of) < FIT_DOCS).select("lang", "text")
     counts = sample.mapInArrow(_word_counts, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counts = counts.orderBy(F.desc("n"), "lang", "word").limit(FIT_WORDS).collect()
-    return fit(vocabulary(vocab), [(r["lang"], r["word"], r["n"]) for r in counts], shares)
+    return fit(vocabulary(vocab), Scratch(docs.sparkSession, "langid").cut(counts, "counts"), shares)
 
 
 class Scorer:
-    """Scores texts, remembering the words it has met (MEMO rows of scores at most)."""
+    """Scores texts, remembering the words it has met (MEMO_BYTES of scores, or one batch of words, at most)."""
 
-    MEMO = 300_000
+    MEMO_BYTES = 8 << 20
 
     def __init__(self, model: Model):
         self.model = model
+        self.memo = self.MEMO_BYTES // (8 * max(1, len(model.langs)))
         self.number: dict[str, int] = {}
-        self.table = np.zeros((0, len(model.langs)))
+        self.table = np.zeros((self.memo, len(model.langs)))
 
     def batch(self, texts: list[str | None]) -> list[tuple[str, float]]:
         if not self.model.langs:
             return [("und", 0.0)] * len(texts)
         split = [words_of(t) for t in texts]
-        if len(self.number) > self.MEMO:
-            self.number, self.table = {}, np.zeros((0, len(self.model.langs)))
-        new = list({w for s in split for w in s}.difference(self.number))
+        every = {w for s in split for w in s}
+        new = list(every.difference(self.number))
+        if len(self.number) + len(new) > self.memo:
+            new, self.number = list(every), {}
+            if len(new) > len(self.table):
+                self.table = np.zeros((len(new), len(self.model.langs)))
         if new:
-            self.number.update(zip(new, range(len(self.table), len(self.table) + len(new))))
-            self.table = np.vstack([self.table, self.model.score(new)])
+            at = len(self.number)
+            self.number.update(zip(new, range(at, at + len(new))))
+            self.table[at : at + len(new)] = self.model.score(new)
         out = []
         for s in split:
             if not has_letter(s):
@@ -265,8 +347,9 @@ def predict(docs: DataFrame, *, vocab: str, id_col: str = "doc_id", text_col: st
 
     lang_pred is a learned language, ``und`` with score 0 for a null text, one without letters, or if nothing
     could be learned; score is the posterior probability of lang_pred.  A row without id is not held out and not
-    learned from.  Only the text decides a prediction; repeated rows are predicted alike; ties go to the first
-    language by code point.
+    learned from.  Only the whole text decides a prediction, whatever its length; repeated rows are predicted alike;
+    ties go to the first language by code point.  What other columns are called plays no part; an empty table gives no
+    rows.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, vocab=vocab, id_col=id_col, text_col=text_col, lang_col=lang_col, held_out=held_out))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(crc_group(id_col) == held_out, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
@@ -277,7 +360,7 @@ def predict(docs: DataFrame, *, vocab: str, id_col: str = "doc_id", text_col: st
 def keep_identified(docs: DataFrame, *, vocab: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = 0.5) -> DataFrame:
     """The rows of docs, with their columns, whose language is found with a posterior of min_score at least."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, vocab=vocab, id_col=id_col, text_col=text_col, lang_col=lang_col))
-    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
     schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     out = rows.mapInArrow(_predict(model), schema)
     return out.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select("row.*")
