@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 _CHUNK = 256
 SPAN = "array<struct<start:int,kind_no:int,end:int,kind:string,value:string>>"
+IN_CONTEXT = "array<struct<span:struct<start:int,kind_no:int,end:int,kind:string,value:string>,before:string,after:string>>"
 
 
 def _sum(array: Column) -> Column:
@@ -45,6 +46,29 @@ def matches(text: Column, pattern: str, kind: str, kind_no: int, *, group: int =
     return F.when(condition, rows).otherwise(F.array()).cast(SPAN)
 
 
+def in_context(text: Column, pattern: str, kind: str, kind_no: int, *, probe: Column | None = None, before: int = 40, after: int = 20) -> Column:
+    """Spans as of ``matches`` in structs (span, before, after) with the text around, which ends at the next match."""
+    pieces = F.split(text, pattern, -1)
+    # pieces are found once for all matches, not for each
+    near = F.flatten(F.transform(F.array(pieces), lambda p: F.transform(F.sequence(F.lit(0), F.size(p) - 2), lambda i: F.struct(F.substring(F.get(p, i), -before, before).alias("before"), F.substring(F.get(p, i + 1), 1, after).alias("after")))))
+    spans = matches(text, pattern, kind, kind_no, probe=probe)
+    both = F.zip_with(spans, near, lambda s, n: F.struct(s.alias("span"), n["before"].alias("before"), n["after"].alias("after")))
+    condition = F.regexp_like(text, F.lit(pattern))
+    return F.when(condition if probe is None else probe & condition, both).otherwise(F.array()).cast(IN_CONTEXT)
+
+
+def below(sorted_values: Column, x: Column) -> Column:
+    """How many of an array's ascending numbers are less than x, by bisection."""
+    start = F.struct(F.lit(0).alias("lo"), F.size(sorted_values).alias("hi"))
+
+    def step(a: Column, _: Column) -> Column:
+        mid = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+        less = (a["lo"] < a["hi"]) & (F.get(sorted_values, mid) < x)
+        return F.struct(F.when(less, mid + 1).otherwise(a["lo"]).alias("lo"), F.when((a["lo"] < a["hi"]) & ~less, mid).otherwise(a["hi"]).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(31)), start, step, lambda a: a["lo"])
+
+
 def rendered(spans: Column) -> Column:
     """kind:start:end of each span by start, then kind number, joined by commas."""
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
