@@ -8,25 +8,51 @@ from pyspark.sql import functions as F
 from locusframe.llm.scratch import Scratch
 
 
+#: A key of 1 / HOT_SHARE of the rows, and HOT_LEAST rows, or more is hot: there are HOT_SHARE such keys at most.
+HOT_SHARE, HOT_LEAST = 1000, 200
+
+
+def with_value(rows: DataFrame, key: str, found: DataFrame, times: str | None = None) -> DataFrame:
+    """rows with the columns of ``found``, which has one row a key, or nulls; times is a column of it with the rows of
+    each key, if there is one (keys it lacks are no hot ones then).
+
+    The values of hot keys, a bounded number, are broadcast, so the rows of such a key stay where they are; no other
+    key can fill a task of the join.
+    """
+    spark = rows.sparkSession
+    by = found.select(key, F.col(times).alias("count")) if times else rows.groupBy(key).count()
+    total = by.agg(F.sum("count")).first()[0] or 0
+    hot = by.where(F.col("count") > max(total // HOT_SHARE, HOT_LEAST)).drop("count").collect()
+    if not hot:
+        return rows.join(found, key, "left")
+    known = F.broadcast(spark.createDataFrame(hot, rows.select(key).schema)).join(found, key, "left").withColumn("hot", F.lit(True))
+    known = spark.createDataFrame(known.collect(), known.schema)
+    tagged = rows.join(F.broadcast(known), key, "left")
+    cold = tagged.where("hot is null").select(*rows.columns).join(found, key, "left")
+    return tagged.where("hot").drop("hot").unionByName(cold)
+
+
 def connected(edges: DataFrame, scratch: Scratch, label: str = "cc") -> DataFrame:
     """(node, root) of every node in ``edges(a, b)``; root is the least node of the component.
 
-    Each step is a min-aggregation (combined before its shuffle) and an equi-join whose build side has one
-    row per node, so a hub with many links is never gathered in one task; edges only move towards smaller
-    nodes and their number does not grow.  The table of links is cut to shared storage after each round.
-    Loops and repeated links are allowed; null ends are dropped.
+    Each step gives every link the least neighbour of one of its ends: a combined aggregation and a join in which the
+    links of a hub are not gathered (``with_value``); edges only move towards smaller nodes and their number does not
+    grow.  The table of links is cut to shared storage after each step.  Loops and repeated links are allowed; null
+    ends are dropped.
     """
     edges = edges.where("a is not null and b is not null and a <> b")
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     now = scratch.cut(edges, label)
     while not _stars(now):
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
+        # large star: the larger neighbours of a node b go to the least neighbour of b, which is b or an a of it
+        least = now.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m"))
+        large = scratch.cut(with_value(now, "b", least).select("a", F.coalesce("m", "b").alias("b")).distinct(), label)
+        # small star: the smaller neighbours of a go to the least of them
+        small = with_value(large, "a", large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("times")), "times")
+        small = small.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         after = scratch.cut(small.select("e.a", "e.b").where("a <> b").distinct(), label)
         scratch.drop(now)
+        scratch.drop(large)
         now = after
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from locusframe.llm.scratch import Scratch
+
 U = np.uint64
 #: Bytes of benchmark text that one pass over the documents looks for; more text makes more passes.
 PASS_BYTES = 8 << 20
@@ -234,15 +236,18 @@ def search_windows(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_
     item without id is named "null"; repeated items count once.  Every row of docs is searched as a whole.
 
     The driver reads the benchmark in blocks of PASS_BYTES; each block is one broadcast of a known bound and one
-    more pass in the same stage, so a larger benchmark takes more passes and not more memory.
+    more pass, which reads the table that the pass before wrote, so a larger benchmark takes more passes and not more
+    memory.
     """
     spark = docs.sparkSession
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("bigint").alias("n_words"), F.lit(None).cast("array<bigint>").alias("spans"), F.lit(None).cast("array<string>").alias("items"))
-    schema = out.schema
+    schema, scratch = out.schema, Scratch(spark, "windows")
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("null")), F.col(text_col).cast("string")).where(F.col(text_col).isNotNull())
     blocks = 0
     for block in _blocks(items):
         blocks += 1
+        if blocks > 1:  # a pass reads what the one before has written: only one search is in memory at a time
+            out = scratch.cut(out, "pass")
         out = out.mapInArrow(_pass(spark.sparkContext.broadcast(Matcher(block, window))), schema)
     if not blocks:
         out = out.mapInArrow(_pass(spark.sparkContext.broadcast(Matcher([], window))), schema)
@@ -263,13 +268,17 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "d
     """The rows of docs, with all their columns, that are clean of the benchmark.
 
     A row goes if it holds windows of min_items items of min_words words or more, or of two or more different items
-    of any length: a shorter item alone is too short to tell a passage.
+    of any length: a shorter item alone is too short to tell a passage.  Null and empty texts stay, repeated rows are judged
+    alike, texts of any length are searched whole, and what the columns are called plays no part; an empty table or
+    benchmark takes nothing.
     """
     long_enough = F.regexp_count(F.col(text_col).cast("string"), F.lit("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+")) >= min_words
     named = F.concat(F.when(long_enough, F.lit("L")).otherwise(F.lit("S")), F.coalesce(F.col(item_col).cast("string"), F.lit("null")))
     items = benchmark.select(named.alias(item_col), F.col(text_col))
     # the search takes any columns along: the row itself is the id
-    found = search_windows(docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), items, id_col="__row", text_col=text_col, item_col=item_col, window=window)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
+    items = items.select(F.col(item_col).alias("item"), F.col(text_col).alias("text"))
+    found = search_windows(rows, items, id_col="row", text_col="text", item_col="item", window=window)
     long_items = F.size(F.filter("items", lambda i: i.startswith("L")))
     every = F.size(F.array_distinct(F.transform("items", lambda i: F.substr(i, F.lit(2)))))
     return found.where((long_items < min_items) & (every < max(min_items, 2))).select("id.*")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from locusframe.llm import wordhash as wh
-from locusframe.llm.components import connected
+from locusframe.llm.components import connected, with_value
 from locusframe.llm.scratch import Scratch
 
 #: Classes and shingles that one block of a cluster holds at most (a single larger set is a block of its own).
@@ -168,22 +168,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(text_col).cast("string")).alias("text_key"))
     id_type = text.schema["id"].dataType.simpleString()
     row = scratch.cut(text.mapInArrow(_sketch(k, bands, rows), f"id {id_type}, n bigint, cls binary, keys array<bigint>, text_key bigint"), "rows")
-    classes = row.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"), F.first("n").alias("n"))
+    classes = row.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.coalesce(F.min_by("text_key", "id"), F.min("text_key")).alias("rep_key"), F.count(F.lit(1)).alias("copies"), F.first("keys").alias("keys"), F.first("n").alias("n"))
 
     member = classes.select("cls", F.explode("keys").alias("key"))
-    centre = member.groupBy("key").agg(F.min("cls").alias("b"), F.count(F.lit(1)).alias("g")).where("g > 1").drop("g")
-    star = member.join(centre, "key").select(F.col("cls").alias("a"), "b").distinct()
+    centre = member.groupBy("key").agg(F.min("cls").alias("b"), F.count(F.lit(1)).alias("g")).where("g > 1")
+    star = with_value(member, "key", scratch.cut(centre, "centres"), "g").where("b is not null").select(F.col("cls").alias("a"), "b").distinct()
     cluster = connected(star, scratch, "candidates")
-    sized = scratch.cut(classes.join(cluster.withColumnRenamed("node", "cls"), "cls").select("cls", "rep", "n", "root"), "clustered")
+    sized = scratch.cut(classes.join(cluster.withColumnRenamed("node", "cls"), "cls").select("cls", "rep", "rep_key", "n", "root"), "clustered")
     blocks = sized.groupBy("root").agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("total"))
     blocks = blocks.select("root", "members", F.greatest(F.ceil(F.col("members") / BLOCK_CLASSES), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int").alias("nb"))
     sized = sized.join(blocks, "root")
 
-    wanted = sized.select(F.col("cls").alias("want"), F.col("rep").alias("rep"))
+    wanted = sized.select(F.col("cls").alias("want"), "rep", "rep_key")
     if wanted.count() <= BROADCAST_CLASSES:
         wanted = F.broadcast(wanted)
-    found = text.join(wanted, text["id"].eqNullSafe(wanted["rep"])).select("text", "want")
-    found = found.mapInArrow(_sets(k), "cls binary, found binary, shingles array<bigint>").where("cls = found")
+    found = text.join(wanted, text["id"].eqNullSafe(wanted["rep"]) & (text["text_key"] == wanted["rep_key"])).select("text", "want")
+    found = found.mapInArrow(_sets(k), "cls binary, found binary, shingles array<bigint>").where("cls = found").select("cls", "shingles").dropDuplicates(["cls"])
     member = scratch.cut(found.join(sized, "cls").select("cls", "shingles", "n", "root", "nb", "members", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int").alias("block")), "sets")
 
     # about ANCHORS members of a cluster of several blocks go to each of its blocks, to join the blocks up
@@ -226,13 +226,18 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     All columns are returned.  Rows with the same id and the same text count as one document and are reduced to
     one; documents without words stay.  A row goes by its id and its text's hash, so an id that repeats with
-    another text is judged by itself.
+    another text is judged by itself.  Texts of any length are read whole; what the columns are called plays no part; of a
+    group whose least id stands in several rows with different texts all of those stay; an empty table gives none.
     """
     result = near_duplicates(docs, id_col=id_col, text_col=text_col, k=k, threshold=threshold, name="keep")
-    gone = result.where(~F.col("kept")).select(F.col(id_col).alias("__gone_id"), F.col("text_key").alias("__gone_key")).distinct()
-    once = docs.dropDuplicates([id_col, text_col])
+    result = result.select(F.col(id_col).alias("gone_id"), F.col("text_key").alias("gone_key"), "kept")
+    gone = result.where(~F.col("kept")).drop("kept").distinct()
+    # the texts are dealt anew only where an id and a text repeat
+    repeated = not result.where("kept").groupBy("gone_id", "gone_key").count().where("count > 1").limit(1).isEmpty()
+    once = docs.dropDuplicates([id_col, text_col]) if repeated else docs
+    once = once.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     # a few bytes for each row that goes; the texts stay where they are unless those outgrow a broadcast
     if gone.count() <= BROADCAST_CLASSES:
         gone = F.broadcast(gone)
-    same = F.col(id_col).eqNullSafe(F.col("__gone_id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__gone_key"))
-    return once.join(gone, same, "left_anti")
+    same = F.col(f"row.`{id_col}`").eqNullSafe(F.col("gone_id")) & F.xxhash64(F.col(f"row.`{text_col}`").cast("string")).eqNullSafe(F.col("gone_key"))
+    return once.join(gone, same, "left_anti").select("row.*")

@@ -2,7 +2,7 @@
 
 Intermediate tables go to the folder that ``spark.checkpoint.dir`` names, which driver and executors
 share; they survive a lost executor because they are ordinary Parquet files.  Only where the setting is
-absent (unit tests on one machine) a temporary folder is made.
+absent and the session runs on one machine (unit tests) a temporary folder is made.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ def shared_root(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if "dir" not in _own:
         _own["dir"] = "file://" + tempfile.mkdtemp(prefix="locusframe-scratch-")
     return _own["dir"]
