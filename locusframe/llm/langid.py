@@ -324,11 +324,17 @@ class Scorer:
         return out
 
 
+def _text(batch: pa.RecordBatch) -> pa.Array:
+    """The last column, or the last field of a last column of rows."""
+    last = batch.column(batch.num_columns - 1)
+    return last.flatten()[-1] if pa.types.is_struct(last.type) else last
+
+
 def _predict(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value)
         for batch in batches:
-            text, lo = batch.column(batch.num_columns - 1), 0
+            text, lo = _text(batch), 0
             while lo < len(batch):
                 hi, size, texts = lo, 0, []
                 while hi < len(batch) and (hi == lo or size < 1 << 20):
@@ -358,9 +364,15 @@ def predict(docs: DataFrame, *, vocab: str, id_col: str = "doc_id", text_col: st
 
 
 def keep_identified(docs: DataFrame, *, vocab: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", min_score: float = 0.5) -> DataFrame:
-    """The rows of docs, with their columns, whose language is found with a posterior of min_score at least."""
+    """The rows of docs, with their columns, whose language is found with a posterior of min_score at least.
+
+    Null texts, empty ones and others without letters go; see predict for the rest.
+    """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, vocab=vocab, id_col=id_col, text_col=text_col, lang_col=lang_col))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
+    # a row travels once, its text as the last field
+    text = F.col(f"`{text_col}`").cast("string").alias(text_col)
+    others = [c for c in docs.columns if c != text_col]
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in others], text).alias("row"))
     schema = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    out = rows.mapInArrow(_predict(model), schema)
-    return out.where((F.col("lang_pred") != "und") & (F.col("score") >= min_score)).select("row.*")
+    out = rows.mapInArrow(_predict(model), schema).where((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
+    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns])

@@ -8,10 +8,8 @@ absent and the session runs on one machine (unit tests) a temporary folder is ma
 from __future__ import annotations
 
 import atexit
-import contextlib
 import tempfile
 import uuid
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,20 +28,17 @@ def shared_root(spark: SparkSession) -> str:
     return _own["dir"]
 
 
-#: Rows of one Arrow batch while a table is written: texts of many kilobytes must fit an executor's memory.
-ARROW_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Most rows and bytes of one Arrow batch: two workers an executor hold some of them at once, whole texts in them.
+ARROW_ROWS, ARROW_BYTES = 1000, 4 << 20
 
 
-@contextlib.contextmanager
-def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> Iterator[None]:
-    """Batches of at most so many rows in what runs inside; the session's own setting comes back after."""
-    before = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(_BATCH, before)
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's bounds of Arrow batches to the ones above. They stay so, as results are read later on."""
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int("".join(c for c in spark.conf.get(key, "0") if c.isdigit()) or 0) if name == "maxRecordsPerBatch" else 0
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
 
 
 class Scratch:
@@ -53,6 +48,7 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
+        small_batches(spark)
         atexit.register(self.clear)
 
     def path(self, label: str) -> str:
@@ -62,8 +58,7 @@ class Scratch:
     def cut(self, df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
         """Write df as Parquet in the shared folder and return it as read from there."""
         at = self.path(label)
-        with arrow_rows(self.spark):
-            df.write.option("compression", codec).parquet(at)
+        df.write.option("compression", codec).parquet(at)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._scratch = (self, at)
         return out

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from locusframe.llm.scratch import Scratch, arrow_rows
+from locusframe.llm.scratch import Scratch, small_batches
 from locusframe.llm.wordhash import WHITE, U, mix, text_slices
 
 STRIPE_BYTES, ROW_STRIDE = 8 << 20, 1000
@@ -276,8 +276,8 @@ def write_tokens(docs: DataFrame, out: str, *, tokenizer: str, id_col: str = "do
     ids = rows.mapInArrow(_encode(tokenizer, end_id, memo), f"doc_id {id_type}, at bigint, ids array<int>")
     writer = ids.write.option("compression", "zstd").option("orc.stripe.size", str(STRIPE_BYTES)).option("orc.row.index.stride", str(ROW_STRIDE))
     writer.option("orc.create.index", "true").option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
-    with arrow_rows(docs.sparkSession):
-        writer.orc(out)
+    small_batches(docs.sparkSession)
+    writer.orc(out)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
