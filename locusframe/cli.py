@@ -36,6 +36,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--sample")
     c.add_argument("--compression", choices=["auto", "plain", "gzip", "bgzf"], default="auto")
     c.add_argument("--index", help="chunk index; <input>.idx.json if that is there")
+    c.add_argument("--index-report", help="where to write which chunks the index let skip, if one is used")
     add("stats", out=False, region=True)
     for name in ("freq", "missingness", "hardy", "het"):
         add(name, chosen=True)
@@ -71,12 +72,14 @@ def run(spark: SparkSession, argv: list[str]) -> None:
         sinks.write_tsv(found, a.output, "plain", tuple(found.columns[1:3]) + tuple(found.columns[3:]))
         print(" ".join(f"{k}={v}" for k, v in so.diff_counts(left, right, a.key).first().asDict().items()), file=sys.stderr)
         return
-    header = vcf.read_header(spark, a.input) if not a.input.endswith(".bcf") else vcf.Header([], [])
+    header = vcf.any_header(spark, a.input)
     df = vcf.read_variants(spark, a.input, region=getattr(a, "region", None), header=header)
     if a.command == "filter":
         index = a.index or f"{a.input}.idx.json"
         if os.path.exists(index) and a.region is None:
-            df, _ = sidecar.indexed_filter(df, index, a.input, a.where, sample_names=header.samples, sample=a.sample)
+            df, report = sidecar.indexed_filter(df, index, a.input, a.where, sample_names=header.samples, sample=a.sample)
+            if a.index_report:
+                sinks.write_lines(a.index_report, [sinks.write_json(report)], "plain")
         else:
             df = so.filter_sites(df, a.where, header.samples, a.sample)
         sinks.write_vcf(df, header.lines, a.output, a.compression)

@@ -247,7 +247,9 @@ def pixy_pi(df: DataFrame, pops: dict[str, list[int]], window: int) -> DataFrame
     """(pop_no, pop, chrom, window_start, window_end, avg_pi, no_sites, count_diffs, count_comparisons): differences
     and comparisons summed over sites with calls, so missing data does not bias the ratio."""
     out, names = _pop_counts(df, pops)
-    out = out.select("chrom", "ord", v.window_start(F.col("pos"), _size(window)).alias("window_start"), F.posexplode("pop_counts").alias("pop_no", "c"))
+    # an array of known length: from any other the optimiser derives a filter on its size, and works it out twice
+    each = F.array(*[F.struct(F.lit(i).alias("pop_no"), F.get("pop_counts", F.lit(i)).alias("c")) for i in range(len(names))])
+    out = out.select("chrom", "ord", v.window_start(F.col("pos"), _size(window)).alias("window_start"), F.explode(each).alias("x")).select("chrom", "ord", "window_start", "x.*")
     n = v.total(F.col("c"))
     squares = F.aggregate("c", F.lit(0).cast("bigint"), lambda a, x: a + x * x)
     out = out.select("chrom", "ord", "window_start", "pop_no", n.alias("n"), squares.alias("sq"))

@@ -7,13 +7,17 @@ records are then dealt out by ranges of ord for whatever comes next.
 from __future__ import annotations
 
 import gzip
+import io
 import re
 import struct
 from collections.abc import Iterator
+from typing import IO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from locusframe.sources.vcf import Header
+
 SCHEMA = "ord bigint, line string, chrom string, pos bigint, pos_raw string, id string, ref string, alt string, qual string, filter string, info string, format string, samples array<string>"
 # fixed values of the format: type codes to struct letters, their missing and end-of-vector values
 _TYPES = {1: ("b", -128, -127), 2: ("h", -32768, -32767), 3: ("i", -2147483648, -2147483647), 5: ("f", None, None)}
@@ -121,15 +125,21 @@ class Decoder:
         )
 
 
-def records(path: str) -> Iterator[tuple]:
+def _open(source: str | bytes) -> tuple[IO[bytes], str]:
+    """The stream of a file (a path, or its bytes) behind the header, and the header's text."""
+    f = gzip.open(io.BytesIO(source) if isinstance(source, bytes) else source, "rb")
+    if f.read(3) != b"BCF":
+        raise ValueError("not a BCF file" if isinstance(source, bytes) else f"not a BCF file: {source}")
+    f.read(2)
+    (n,) = struct.unpack("<I", f.read(4))
+    return f, f.read(n).rstrip(b"\0").decode()
+
+
+def records(source: str | bytes) -> Iterator[tuple]:
     """All records of a file, one after the other."""
-    with gzip.open(path, "rb") as f:
-        if f.read(3) != b"BCF":
-            raise ValueError(f"not a BCF file: {path}")
-        f.read(2)
-        (n,) = struct.unpack("<I", f.read(4))
-        decoder = Decoder(f.read(n).rstrip(b"\0").decode())
-        ord_ = 0
+    f, header = _open(source)
+    with f:
+        decoder, ord_ = Decoder(header), 0
         while head := f.read(8):
             a, b = struct.unpack("<II", head)
             chrom, pos, ident, ref, alt, qual, filt, info, fmt, samples = decoder.record(f.read(a), f.read(b))
@@ -142,9 +152,9 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in SCHEMA.split(", ")]
     types = [pa.int64() if n in ("ord", "pos") else pa.list_(pa.string()) if n == "samples" else pa.string() for n in names]
     for batch in batches:
-        for path in batch.column(0).to_pylist():
+        for source in batch.column(0).to_pylist():
             held = []
-            for row in records(path):
+            for row in records(source):
                 held.append(row)
                 if len(held) == 2048:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
@@ -153,7 +163,32 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names)
 
 
-def read_bcf(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """Records of a BCF file on storage that executors see; missing values read as '.'."""
-    out = spark.createDataFrame([(path.removeprefix("file://"),)], "path string").mapInArrow(_decode, SCHEMA)
+def _headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = []
+        for source in batch.column(0).to_pylist():
+            f, header = _open(source)
+            f.close()
+            found.append(header)
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.string())], ["header"])
+
+
+def _source(spark: SparkSession, path: str, through_spark: bool | None) -> DataFrame:
+    """One row: the path, or for storage that only Spark reads the file's bytes (2 GB at most)."""
+    if through_spark if through_spark is not None else "://" in path and not path.startswith("file://"):
+        return spark.read.format("binaryFile").load(path).select("content")
+    return spark.createDataFrame([(path.removeprefix("file://"),)], "path string")
+
+
+def read_header(spark: SparkSession, path: str, through_spark: bool | None = None) -> Header:
+    """Header lines as VCF text has them, without the numbers of the dictionaries, and sample names."""
+    text = _source(spark, path, through_spark).mapInArrow(_headers, "header string").first()[0]
+    lines = [re.sub(r",IDX=[0-9]+(?=[,>])", "", line) if line.startswith("##") else line for line in text.splitlines()]
+    return Header(lines, Decoder(text).samples)
+
+
+def read_bcf(spark: SparkSession, path: str, partitions: int | None = None, through_spark: bool | None = None) -> DataFrame:
+    """Records of a BCF file; missing values read as '.'. One task decodes the file: its records cannot be found
+    without reading those before."""
+    out = _source(spark, path, through_spark).mapInArrow(_decode, SCHEMA)
     return out.repartitionByRange(partitions, "ord") if partitions else out

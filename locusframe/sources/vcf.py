@@ -101,6 +101,15 @@ def checked_positions(df: DataFrame) -> DataFrame:
     return df.withColumn("pos", F.when(F.col("pos").isNull(), F.raise_error(F.concat(F.lit("invalid POS: "), F.col("pos_raw"))).cast("bigint")).otherwise(F.col("pos")))
 
 
+def any_header(spark: SparkSession, path: str) -> Header:
+    """The header of a VCF file, or of a BCF file by its name."""
+    if path.endswith(".bcf"):
+        from locusframe.sources import bcf
+
+        return bcf.read_header(spark, path)
+    return read_header(spark, path)
+
+
 def read_variants(spark: SparkSession, path: str, *, region: Region | None = None, header: Header | None = None) -> DataFrame:
     """read_vcf, or the BCF reader by the file's name, cut to a region whose contig the header must know."""
     if path.endswith(".bcf"):
@@ -111,7 +120,7 @@ def read_variants(spark: SparkSession, path: str, *, region: Region | None = Non
         out = read_vcf(spark, path)
     if region is None:
         return out
-    known = (header or read_header(spark, path)).contigs() if not path.endswith(".bcf") else []
+    known = (header or any_header(spark, path)).contigs()
     if known and region.contig not in known:
         raise VcfError(f"contig {region.contig!r} is not in the header")
     from locusframe.operators.sites import region as cut

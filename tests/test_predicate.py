@@ -3,12 +3,13 @@ import pytest
 from locusframe.plans import predicate as p
 
 ROWS = [
-    ("chr1", 101, "60", "PASS", "MQ=55;FS=12.5,8.2;CSQ=syn;SOMATIC", "AD:FT:DP:GQ", ["4,11:PASS:22:35", "10,0:LowDP:10:20"]),
-    ("chr1", 102, "45", "PASS", "MQ=40;FS=30.0;CSQ=mis", "AD:FT:DP:GQ", ["9,1:LowDP:12:18", "2,18:PASS:30:40"]),
-    ("chr2", 103, "20", "q10", "MQ=.;EMPTY=;CSQ=.", "AD:FT:DP:GQ", [".:.:.:.", "3,1:PASS:8:25"]),
-    ("chr2", 104, ".", ".", "DP=12.5;DP=99;AF=nan,1e-2", "GT", ["0/1", "0|1"]),
-    ("chr3", 105, "x", "PASS", ".", "", []),
+    ("6", 7, "31.5", "PASS", "DEPTH=17;BIAS=0.5,3;KIND=gain;NEW", "GT:RD:CALL:SCORE", ["0/1:6,14:ok:31", "1|1:0,9:weak:12", "./.:.:.:."]),
+    ("6", 8, "9", "PASS", "DEPTH=60;BIAS=7;KIND=loss", "GT:RD:CALL:SCORE", ["0/0:25,1:ok:40", "0/1:12,11:ok:22", "0/0:30,0:ok:33"]),
+    ("11", 9, "70", "shallow", "DEPTH=.;NOTE=;KIND=.", "GT:RD", ["0/1:2,2", ".", "1/1:1"]),
+    ("11", 10, ".", ".", "DP=8.5;DP=77;AF=nan,0.25", "GT", ["1/1", "0|1", "0/0"]),
+    ("MT", 11, "high", "PASS", ".", "", []),
 ]
+NAMES = ["ada", "ben", "cho"]
 
 
 @pytest.fixture(scope="module")
@@ -17,17 +18,17 @@ def df(spark):
 
 
 @pytest.mark.parametrize("where, want", [
-    ("QUAL > 30", [101, 102]), ("QUAL >= 45 && POS < 102", [101]), ('FILTER != "PASS"', [103, 104]), ('CHROM == "chr2" || QUAL == 60', [101, 103, 104]),
-    ("INFO/FS < 10", [101]), ("INFO/FS[0] < 10", []), ("INFO/FS[1] > 8", [101]), ("INFO/FS != 12.5", [101, 102]), ("INFO/MQ != 55", [102]),
-    ('INFO/CSQ != "syn"', [102]), ('INFO/SOMATIC == "true" || INFO/EMPTY == "" || INFO/MQ == "."', []), ('INFO/CSQ > "a"', []), ('QUAL == "60"', []), ("CHROM == 1", []),
-    ("DP == 12.5", [104]), ("DP > 90", []), ("AF != 0.01", [104]), ("AF == 0.01", [104]), ("AF[0] > 0", []), ("AF[0] != 0", [104]), ("AF[7] != 0", []),
-    ("FORMAT/AD > 8", [101, 102]), ('FORMAT/AD[1] > 10 && FORMAT/FT == "PASS"', [101]), ('FORMAT/GT == "0/1"', [104]),
-    ("ANY(FORMAT/AD > 15)", [102]), ('ALL(FORMAT/FT != "LowDP")', []), ("ALL(FORMAT/GQ >= 18)", [101, 102]), ("ALL(FORMAT/XX != 1)", []),
-    ("N_PASS(FORMAT/DP > 9) >= 2", [101, 102]), ("N_PASS(FORMAT/XX > 1) == 0", [101, 102, 103, 104, 105]), ("N_PASS(FORMAT/AD[1] > 10) < 1", [103, 104, 105]),
-    ("(QUAL > 50 || QUAL < 30) && POS > 101", [103]), ("QUAL > 50 || QUAL < 30 && POS > 102", [101, 103]), ("POS > -1", [101, 102, 103, 104, 105]),
+    ("QUAL > 30", [7, 9]), ("QUAL >= 9 && POS < 9", [7, 8]), ('FILTER != "PASS"', [9, 10]), ('CHROM == "11" || QUAL == 9', [8, 9, 10]),
+    ("INFO/BIAS < 1", [7]), ("INFO/BIAS[0] > 6", [8]), ("INFO/BIAS[1] > 2", [7]), ("INFO/BIAS != 0.5", [7, 8]), ("INFO/DEPTH != 17", [8]),
+    ('INFO/KIND != "gain"', [8]), ('INFO/NEW == "true" || INFO/NOTE == "" || INFO/DEPTH == "."', []), ('INFO/KIND > "a"', []), ('QUAL == "9"', []), ("CHROM == 11", []),
+    ("DP == 8.5", [10]), ("DP > 70", []), ("AF != 0.25", [10]), ("AF == 0.25", [10]), ("AF[0] > 0", []), ("AF[0] != 0", [10]), ("AF[7] != 0", []),
+    ("FORMAT/RD > 20", [8]), ('FORMAT/RD[1] > 10 && FORMAT/CALL == "ok"', [7]), ('FORMAT/GT == "0/1"', [7, 9]),
+    ("ANY(FORMAT/RD > 20)", [8]), ('ALL(FORMAT/CALL != "weak")', [8]), ("ALL(FORMAT/SCORE >= 20)", [8]), ("ALL(FORMAT/XX != 1)", []),
+    ("N_PASS(FORMAT/RD > 8) >= 2", [7, 8]), ("N_PASS(FORMAT/XX > 1) == 0", [7, 8, 9, 10, 11]), ("N_PASS(FORMAT/RD[1] > 10) < 1", [9, 10, 11]),
+    ("(QUAL > 50 || QUAL < 10) && POS > 8", [9]), ("QUAL > 31 || QUAL < 10 && POS > 8", [7, 9]), ("POS > -1", [7, 8, 9, 10, 11]),
 ])
 def test_rows(df, where, want):
-    assert sorted(r.pos for r in df.where(p.compile_text(where, ["HG002", "HG003"], "HG002")).collect()) == want
+    assert sorted(r.pos for r in df.where(p.compile_text(where, NAMES, "ada")).collect()) == want
 
 
 @pytest.mark.parametrize("where, message", [
@@ -48,5 +49,5 @@ def test_binding():
 
 
 def test_required_fields():
-    need = p.required(p.parse('QUAL > 3 && (INFO/MQ > 1 || ANY(FORMAT/AD[1] > 2)) && DP > 1'))
-    assert need == {"chrom": False, "pos": False, "qual": True, "filter": False, "info": ["DP", "MQ"], "format": ["AD"]}
+    need = p.required(p.parse('POS < 90 && (INFO/KIND == "x" || N_PASS(FORMAT/RD[0] > 2) > 1) && AF > 0.1'))
+    assert need == {"chrom": False, "pos": True, "qual": False, "filter": False, "info": ["AF", "KIND"], "format": ["RD"]}
