@@ -70,7 +70,10 @@ def _vectors(dim: int):
             for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if i is not None and v is not None and len(v) == dim and None not in v:
                     x = np.array(v, dtype="<f8")
-                    if np.isfinite(x).all() and np.isfinite(n := float((x * x).sum())) and n > 0:
+                    top = np.abs(x).max(initial=0.0)
+                    if np.isfinite(top) and top > 0:
+                        if not 1e-100 < top < 1e100:  # its square would leave the range of doubles; a power of two changes no cosine
+                            x = np.ldexp(x, -np.frexp(top)[1])
                         ids.append(i)
                         raws.append(x.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raws, pa.binary())], ["id", "raw"])
@@ -167,7 +170,8 @@ def search(vectors: DataFrame, is_query, *, id_col: str = "vec_id", vector_col:
     Ties go to the smaller id.  A query for which the buckets yield fewer than k rows is compared with all rows,
     block by block, so it gets k if there are so many.  Vectors that are null, zero, hold null or non-finite
     components, have no id, or another length than most have, take no part; an id that repeats counts once in a
-    result, with its nearest vector.  An empty table gives an empty result.
+    result, with its nearest vector; equal rows are equal candidates.  Vectors of any length of one table are read whole,
+    and what the other columns are called plays no part.  An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")

@@ -90,3 +90,11 @@ def test_nearest_counts_ids():
     assert len(set(got.tolist())) == 5
     once = ann.nearest(x[0], norm[0], 0, x[::9], norm[::9], ids[::9], 5)
     assert got.tolist() == once[0].tolist() and score.tolist() == once[1].tolist()
+
+
+def test_vectors_beyond_the_range_of_squares(spark):
+    rows = vectors(60, seed=6)
+    scale = [1e200, 1e-200, 1.0]
+    scaled = [(i, None if v is None else [x * scale[i % 3] if i is not None and np.isfinite(x or 0) and x is not None else x for x in v]) for i, v in rows]
+    got, want = run(spark, scaled), run(spark, rows)
+    assert {q: [v for v, _ in f] for q, f in got.items()} == {q: [v for v, _ in f] for q, f in want.items()}
