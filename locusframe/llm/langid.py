@@ -26,6 +26,8 @@ from locusframe.llm.wordhash import U, mix
 FIT_DOCS, EM_ROUNDS = 500, 4
 #: Letters of words, padding included, that one vectorised pass takes (a longer word is a pass of its own).
 PASS_LETTERS = 200_000
+#: Words of a language that one call of the fit takes.
+HELD_WORDS = 20_000
 #: Forward sums are scaled anew after so many letters.
 SCALE_EVERY = 8
 #: Probability of a letter that is in no piece, alike for all languages.
@@ -137,13 +139,16 @@ class Model:
             alpha, up = self.forward(edges, column)
             whole = np.log(alpha[n, at]) + up[n, at]
             beta, down = _backward(edges, prob, self.rows, n)
+            found, uses = [], []
             for e, here in enumerate(edges, 1):
                 inside = (n >= e)[:, None]
                 for length, piece in here:
                     row = self.rows(length, piece)
                     with np.errstate(over="ignore", invalid="ignore"):
                         use = np.where(inside, alpha[e - length] * prob[row] * beta[e] * np.exp(up[e - length] + down[e] - whole), 0.0)
-                    out += np.bincount(row, use[:, 0] * times[own], len(out))
+                    found.append(row)
+                    uses.append(use[:, 0] * times[own])
+            out += np.bincount(np.concatenate(found), np.concatenate(uses), len(out))
         return out[:-2]
 
 
@@ -227,15 +232,22 @@ def _expect(model):
         own: Model = model.value
         number = {l: i for i, l in enumerate(own.langs)}
         total: dict[int, np.ndarray] = {}
+        held: dict[int, tuple[list[str], list[int]]] = {}
+
+        def add(l: int) -> None:
+            words, times = held.pop(l)
+            uses = np.rint(own.expected(words, np.array(times, dtype=np.float64), l) * UNIT).astype(np.int64)
+            total[l] = total[l] + uses if l in total else uses
+
         for batch in batches:
-            by: dict[int, tuple[list[str], list[int]]] = {}
             for lang, word, n in zip(*(batch.column(c).to_pylist() for c in range(3))):
-                words, times = by.setdefault(number[lang], ([], []))
+                words, times = held.setdefault(number[lang], ([], []))
                 words.append(word)
                 times.append(n)
-            for l, (words, times) in by.items():
-                uses = np.rint(own.expected(words, np.array(times, dtype=np.float64), l) * UNIT).astype(np.int64)
-                total[l] = total[l] + uses if l in total else uses
+                if len(words) >= HELD_WORDS:
+                    add(number[lang])
+        for l in list(held):
+            add(l)
         for l, uses in total.items():
             some = np.flatnonzero(uses)
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.full(len(some), l, np.int32)), pa.array(uses[some])], ["piece", "lang", "uses"])
@@ -285,6 +297,8 @@ def train(docs: DataFrame, *, vocab: str, id_col: str = "doc_id", text_col: str
     of = F.create_map(*[F.lit(x) for kv in shares.items() for x in kv])[F.col("lang")]
     sample = rows.where(F.pmod(F.xxhash64("id", "text"), of) < FIT_DOCS).select("lang", "text")
     counts = sample.mapInArrow(_word_counts, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    # few rows and much work in each: dealt to all cores, which a merge of small partitions would undo
+    counts = counts.repartition(max(8, docs.sparkSession.sparkContext.defaultParallelism), "lang", "word")
     return fit(vocabulary(vocab), Scratch(docs.sparkSession, "langid").cut(counts, "counts"), shares)
 
 
