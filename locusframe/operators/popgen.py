@@ -45,6 +45,13 @@ def with_genotypes(df: DataFrame, chosen: list[int] | None = None) -> DataFrame:
     return out.withColumn("counts", v.allele_counts(F.col("genotypes"), F.size("labels")))
 
 
+def diploid_biallelic(df: DataFrame, chosen: list[int] | None = None) -> DataFrame:
+    """The rows of df that fst_weir_cockerham and tajima_d take: two labels, and every call diploid without further alleles."""
+    out = with_genotypes(df, chosen)
+    good = F.forall("genotypes", lambda g: g.isNull() | ((F.size(g) == 2) & F.forall(g, lambda a: a <= 1)))
+    return out.where((F.size("labels") == 2) & good).select(*df.columns)
+
+
 def freq(df: DataFrame, chosen: list[int] | None = None) -> DataFrame:
     """(chrom, pos, ord, n_alleles, n_chr, labels, freqs): allele frequencies, null where nothing is called."""
     out = with_genotypes(df, chosen).withColumn("n_chr", v.total(F.col("counts")))

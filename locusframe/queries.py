@@ -251,12 +251,16 @@ def fst_hudson(spark, sf_dir):
     return _rounded(popgen.fst_hudson(t.cohort(spark, sf_dir), list(POPS.values())).drop("ord"), "fst")
 
 
-@register("fst_wc", _FST + f""", base AS (SELECT k, chrom, pos, x.i AS n1, y.i AS n2, x.a/(2*x.i) AS p1, y.a/(2*y.i) AS p2, (x.h+y.h)/(x.i+y.i) AS hb, (x.i+y.i) AS nn, (x.i+y.i)/2 AS nb FROM labels JOIN pp x USING (k) JOIN pp y USING (k) WHERE x.p = 1 AND y.p = 2),
+#: sites that both operators take; they raise on others
+_TWO = ", two AS (SELECT k FROM labels WHERE n_alleles = 2 AND k NOT IN (SELECT k FROM calls WHERE g IS NOT NULL AND (len(g) <> 2 OR len(list_filter(g, lambda x: x > 1)) > 0)))"
+
+
+@register("fst_wc", _TWO + _FST + f""", base AS (SELECT k, chrom, pos, x.i AS n1, y.i AS n2, x.a/(2*x.i) AS p1, y.a/(2*y.i) AS p2, (x.h+y.h)/(x.i+y.i) AS hb, (x.i+y.i) AS nn, (x.i+y.i)/2 AS nb FROM labels JOIN pp x USING (k) JOIN pp y USING (k) WHERE x.p = 1 AND y.p = 2),
 w AS (SELECT *, (n1*p1+n2*p2)/nn AS pb, nn-(n1*n1+n2*n2)/nn AS nc FROM base), w2 AS (SELECT *, (n1*(p1-pb)**2+n2*(p2-pb)**2)/nb AS sq FROM w),
 w3 AS (SELECT k, (sq-(pb*(1-pb)-sq/2-hb/4)/(nb-1))*nb/nc AS a, (pb*(1-pb)-sq/2-hb*(2*nb-1)/(4*nb))*nb/(nb-1) AS b, hb/2 AS c FROM w2 WHERE nb > 1 AND nc <> 0)
-SELECT l.chrom, l.pos, CASE WHEN a+b+c <> 0 THEN {_R('a/(a+b+c)')} END AS fst FROM labels l LEFT JOIN w3 USING (k) WHERE l.k % 13 <> 0""")
+SELECT l.chrom, l.pos, CASE WHEN a+b+c <> 0 THEN {_R('a/(a+b+c)')} END AS fst FROM labels l LEFT JOIN w3 USING (k) WHERE l.k IN (SELECT k FROM two)""")
 def fst_wc(spark, sf_dir):
-    return _rounded(popgen.fst_weir_cockerham(t.cohort(spark, sf_dir).where("k % 13 <> 0"), list(POPS.values())).drop("ord"), "fst")
+    return _rounded(popgen.fst_weir_cockerham(popgen.diploid_biallelic(t.cohort(spark, sf_dir)), list(POPS.values())).drop("ord"), "fst")
 
 
 @register("pi_site", f"SELECT chrom, pos, {_R(_PI)} AS pi FROM ac WHERE n >= 2")
@@ -285,13 +289,13 @@ _A1 = "(SELECT sum(1.0::DOUBLE / range) FROM range(1, 32))"
 _A2 = "(SELECT sum(1.0::DOUBLE / (range * range)) FROM range(1, 32))"
 
 
-@register("tajima_d", f""", pt AS (SELECT chrom, (pos // {WINDOW}) * {WINDOW} AS bin_start, CASE WHEN c0 > 0 AND c1 > 0 THEN 2 * (c0 / n::DOUBLE) * (1 - c0 / n::DOUBLE) * 32 / 31.0::DOUBLE END AS x FROM ac WHERE k % 13 <> 0),
+@register("tajima_d", _TWO + f""", pt AS (SELECT chrom, (pos // {WINDOW}) * {WINDOW} AS bin_start, CASE WHEN c0 > 0 AND c1 > 0 THEN 2 * (c0 / n::DOUBLE) * (1 - c0 / n::DOUBLE) * 32 / 31.0::DOUBLE END AS x FROM ac WHERE k IN (SELECT k FROM two)),
 bins AS (SELECT chrom, bin_start, count(x) AS s, coalesce(sum(x), 0) AS p FROM pt GROUP BY ALL),
 spans AS (SELECT chrom, unnest(range(min(bin_start), max(bin_start) + 1, {WINDOW})) AS bin_start FROM bins GROUP BY chrom),
 k AS (SELECT {_A1} AS a1, {_A2} AS a2), e AS (SELECT a1, (33 / 93.0::DOUBLE - 1 / a1) / a1 AS e1, (2 * (32 * 32 + 35) / (9 * 32 * 31)::DOUBLE - 34 / (a1 * 32) + a2 / (a1 * a1)) / (a1 * a1 + a2) AS e2 FROM k)
 SELECT chrom, bin_start::BIGINT AS bin_start, coalesce(s, 0) AS n_snps, CASE WHEN s >= 1 THEN {_R('(p - s / a1) / sqrt(e1 * s + e2 * s * (s - 1))')} END AS d FROM spans LEFT JOIN bins USING (chrom, bin_start), e""")
 def tajima_d(spark, sf_dir):
-    return _rounded(popgen.tajima_d(t.cohort(spark, sf_dir).where("k % 13 <> 0"), WINDOW, 16), "d")
+    return _rounded(popgen.tajima_d(popgen.diploid_biallelic(t.cohort(spark, sf_dir)), WINDOW, 16), "d")
 
 
 @register("pixy_pi", f""", w AS (SELECT p AS pop, chrom, ((pos - 1) // {WINDOW}) * {WINDOW} + 1 AS ws, n, n * n - c0*c0 - c1*c1 - c2*c2 AS d FROM pac)
