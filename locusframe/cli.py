@@ -91,7 +91,8 @@ def run(spark: SparkSession, argv: list[str]) -> None:
             sinks.write_tsv(so.export_text(df, "ord"), a.output)
         return
     if a.command == "index":
-        sidecar.build(vcf.checked_positions(df), a.input, a.output, a.chunk_records)
+        placed = sidecar.records_by_place(spark, a.input)
+        sidecar.build(vcf.checked_positions(df if placed is None else placed), a.input, a.output, a.chunk_records)
         return
     df = vcf.checked_positions(df)
     if a.command == "stats":

@@ -13,7 +13,8 @@ def chunk_stats(df: DataFrame, records: int = 8192, info_keys: tuple[str, ...] =
     """(chunk, first_record, record_count, bounds and sets) for every ``records`` records by ord, which counts from 0.
 
     For every INFO key: bounds over all numeric elements, and whether every element present was a finite number
-    (``_complete``); bounds are doubles, so a value such as 12.5 is never outside them.
+    (``_complete``); bounds are doubles, so a value such as 12.5 is never outside them.  A column ``place`` of df gives
+    the place in its file where a chunk starts.
     """
     qual = v.number(F.when(v.present(F.col("qual")), F.col("qual")))
     columns = [F.floor(F.col("ord") / records).cast("bigint").alias("chunk"), "ord", "chrom", "pos", qual.alias("qual"), "filter"]
@@ -25,6 +26,9 @@ def chunk_stats(df: DataFrame, records: int = 8192, info_keys: tuple[str, ...] =
         raw = v.info_value(F.col("info"), k)
         columns += [v.numbers(raw).alias(f"n_{k}"), F.exists(v.vector(raw), lambda x: v.present(x) & v.number(x).isNull()).alias(f"odd_{k}")]
         out += [F.min(F.array_min(f"n_{k}")).alias(f"{k}_min"), F.max(F.array_max(f"n_{k}")).alias(f"{k}_max"), F.coalesce(~F.bool_or(f"odd_{k}"), F.lit(True)).alias(f"{k}_complete")]
+    if "place" in df.columns:
+        columns.append("place")
+        out.append(F.min("place").alias("place"))
     if "format" in df.columns:
         columns.append(F.split("format", ":").alias("keys"))
         out.append(F.sort_array(F.array_distinct(F.flatten(F.collect_set("keys")))).alias("format_keys"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from locusframe.operators import chunks
 from locusframe.plans import predicate as p
+from locusframe.sources import ranges, vcf
 
 VERSION, KIND = 1, "locusframe-chunks"
 
@@ -38,8 +39,15 @@ def with_ordinals(df: DataFrame) -> DataFrame:
     return parts.withColumn("ord", (F.row_number().over(Window.partitionBy("part").orderBy("ord")) - 1 + start).cast("bigint")).drop("part")
 
 
+def records_by_place(spark: SparkSession, source: str) -> DataFrame | None:
+    """The records of a plain or block-gzip file with the place of each; None for a file that cannot be read by places."""
+    if source.endswith(".bcf") or not ranges.served(spark, source) or (source.endswith(".gz") and not ranges.is_blocked(spark, source)):
+        return None
+    return vcf.read_vcf(spark, source, by_place=True).withColumn("place", F.col("ord"))
+
+
 def build(df: DataFrame, source: str, out: str, records: int = 8192, info_keys: tuple[str, ...] = ("DP", "AF")) -> dict:
-    """Index a file's records and write the JSON."""
+    """Index a file's records and write the JSON. From ``records_by_place`` it also says where in the file chunks start."""
     stats = chunks.chunk_stats(with_ordinals(df), records, info_keys).orderBy("chunk")
     rows = [r.asDict(True) for r in stats.toLocalIterator()]
     body = {"version": VERSION, "kind": KIND, "source": _identity(source), "chunk_records": records, "record_count": sum(r["record_count"] for r in rows), "info_keys": list(info_keys), "chunks": rows}
@@ -66,14 +74,31 @@ def stats_frame(spark: SparkSession, body: dict) -> DataFrame:
     like = {"chunk": "bigint", "first_record": "bigint", "record_count": "bigint", "chroms": "array<string>", "pos_min": "bigint", "pos_max": "bigint", "qual_min": "double", "qual_max": "double", "filters": "array<string>"}
     for k in body["info_keys"]:
         like |= {f"{k}_min": "double", f"{k}_max": "double", f"{k}_complete": "boolean"}
+    if body["chunks"] and "place" in body["chunks"][0]:
+        like["place"] = "bigint"
     if body["chunks"] and "format_keys" in body["chunks"][0]:
         like["format_keys"] = "array<string>"
     rows: Iterator[tuple] = [tuple(c.get(k) for k in like) for c in body["chunks"]]
     return spark.createDataFrame(rows, ", ".join(f"`{k}` {t}" for k, t in like.items()))
 
 
+def _places(rows: list[dict], kept: set[int], together: int = 64) -> list[tuple[int, int | None]]:
+    """Ranges of the file that hold the kept chunks; at most ``together`` neighbours are one range."""
+    starts = [r["place"] for r in rows] + [None]
+    out: list[tuple[int, int | None]] = []
+    run = 0
+    for i in sorted(kept):
+        joined = bool(out) and run < together and out[-1][1] == starts[i]
+        run = run + 1 if joined else 1
+        out[-1:] = [(out[-1][0], starts[i + 1])] if joined else [*out[-1:], (starts[i], starts[i + 1])]
+    return out
+
+
 def indexed_filter(df: DataFrame, index_path: str, source: str, where: str, *, sample_names: list[str] | None = None, sample: str | None = None, min_skip_rate: float = 0.8, enabled: bool = True) -> tuple[DataFrame, dict]:
-    """The filtered records and a report. Without a valid index, or if it would skip too little, a full scan."""
+    """The filtered records and a report. Without a valid index, or if it would skip too little, a full scan.
+
+    An index with places reads only the kept chunks of the file; the report has the places. One without (BCF, other gzip)
+    saves no reading."""
     body = load(index_path, source) if enabled else None
     condition = p.compile_text(where, sample_names, sample)
     if body is None:
@@ -83,5 +108,8 @@ def indexed_filter(df: DataFrame, index_path: str, source: str, where: str, *, s
     if report["skip_rate"] < min_skip_rate:
         return df.where(condition), report | {"used": False, "reason": "skips too little"}
     kept = chunks.plan(stats, where).where(~F.col("skip")).select("chunk")
+    if "place" in stats.columns:
+        places = _places(body["chunks"], {r["chunk"] for r in kept.collect()})
+        return vcf.read_vcf(df.sparkSession, source, places=places).where(condition), report | {"used": True, "places": places}
     out = with_ordinals(df).withColumn("chunk", F.floor(F.col("ord") / body["chunk_records"]).cast("bigint")).join(F.broadcast(kept) if len(body["chunks"]) <= 100_000 else kept, "chunk", "left_semi").drop("chunk")
     return out.where(condition), report | {"used": True}

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from locusframe.functions import variant as v
+from locusframe.sources import ranges
 
 
 class VcfError(ValueError):
@@ -67,15 +68,20 @@ def read_header(spark: SparkSession, path: str) -> Header:
     return Header(lines, names[9:])
 
 
-def read_vcf(spark: SparkSession, path: str, *, late_headers: str = "skip", partitions: int | None = None) -> DataFrame:
+def read_vcf(spark: SparkSession, path: str, *, late_headers: str = "skip", partitions: int | None = None, places: list[tuple[int, int | None]] | None = None, by_place: bool = False) -> DataFrame:
     """Records with ord, line and the site columns; see the class of problems below.
 
     ord ascends in file order: the byte where the split starts plus the record's number in it, which stays below
     the split's length.  A record of fewer than 8 columns or a blank line raises when its columns are read; lines
-    with # after the first record are skipped, or raise if late_headers is "raise".  gzip files come in one task:
-    ``partitions`` deals their records by ranges of ord afterwards.
+    with # after the first record are skipped, or raise if late_headers is "raise".  A block-gzip file is read by ranges,
+    ord is then the line's place in it; other gzip files come in one task: ``partitions`` deals their records by ranges
+    of ord afterwards.  ``by_place`` makes ord a place for a plain file too, ``places`` reads only such ranges.
     """
-    raw = _lines(spark, path).select(F.col("value").alias("line"), (F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).alias("ord"))
+    blocked = path.endswith(".gz") and ranges.is_blocked(spark, path) and ranges.served(spark, path)
+    if blocked or places is not None or by_place:
+        raw = ranges.read_lines(spark, path, blocked, places).select(F.col("value").alias("line"), "ord")
+    else:
+        raw = _lines(spark, path).select(F.col("value").alias("line"), (F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))).alias("ord"))
     hash_line = F.substring("line", 1, 1) == "#"
     if late_headers == "raise":
         first = raw.where(~hash_line).agg(F.min("ord")).first()[0]
