@@ -11,7 +11,8 @@ have the mean count of such words of their output.  So the score is a distributi
 with room for one unseen word in each shared output.  Training goes over every window of every row, copies
 included: a round takes one position of EVERY, the next round the positions after them.  Each task trains a copy of
 the network on its rows and returns it, copies are averaged, weighted by their windows, and the next round starts
-from the average; what the corpus sends grows with it.
+from the average; what the corpus sends grows with it.  Texts are turned into numbers of words once; both rounds and
+the scores read those.
 """
 
 from __future__ import annotations
@@ -34,6 +35,10 @@ DOCS, EVERY, ROUNDS, STEP, RATE = 1, 2, 2, 64, 0.5
 TABLE, CONTEXT = 1 << 18, 1 << 15
 #: Words kept of a task's counter at once before it is sent on.
 COUNTER = 200_000
+#: Steps whose indexes are made at once, windows of a step that share a product of the output layer, windows scored at once.
+AHEAD, BLOCK, SCORED = 64, 16, 16384
+#: Powers of e up to this one can be summed as they are.
+LARGE = 60
 
 
 def words_of(text: str | None) -> list[str]:
@@ -41,6 +46,13 @@ def words_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
+class Numbers(dict):
+    """Numbers of the words of the table; a word beyond it has that of its shared output."""
+
+    def __missing__(self, word: str) -> int:
+        return Vocabulary.EDGE - Vocabulary.SPARE + Vocabulary.shared(word)
+
+
 class Vocabulary:
     """Numbers of words. Below EDGE are the network's outputs: the most frequent words by rank, then the shared
     outputs; the other words of the table follow EDGE by rank, and a word beyond the table has its shared output."""
@@ -54,7 +66,7 @@ class Vocabulary:
         own = self.size - self.SPARE
         self.ranked = ranked[:own]
         rare = ranked[own:]
-        self.number = {w: i for i, w in enumerate(self.ranked)} | {w: self.EDGE + 1 + i for i, w in enumerate(rare)}
+        self.number = Numbers({w: i for i, w in enumerate(self.ranked)} | {w: self.EDGE + 1 + i for i, w in enumerate(rare)})
         self.outputs = np.concatenate([np.arange(self.EDGE + 1), own + np.array([self.shared(w) for w in rare], dtype=np.int64)])
         self.rows = self.outputs.copy()
         self.rows[self.EDGE + 1 :][:CONTEXT] = self.EDGE + 1 + np.arange(len(rare))[:CONTEXT]
@@ -75,14 +87,13 @@ class Vocabulary:
         return (len(word) * 31 + ord(word[-1])) % cls.SPARE
 
     def ids(self, words: list[str]) -> np.ndarray:
-        known, first = self.number, self.size - self.SPARE
-        return np.array([known[w] if w in known else first + self.shared(w) for w in words], dtype=np.int64)
+        return np.fromiter(map(self.number.__getitem__, words), dtype=np.int64, count=len(words))
 
-    def windows(self, ids: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-        """Embedding rows of the contexts and outputs of the targets at the positions lo..hi."""
+    def windows(self, ids: np.ndarray, lo: int, hi: int, every: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """Embedding rows of the contexts and outputs of the targets at the positions lo..hi, or one of every so many."""
         near = slice(max(lo - SIDE, 0), hi + SIDE)
-        c, _ = windows(self.rows[ids[near]], lo - near.start, min(hi, len(ids)) - near.start)
-        return c, self.outputs[ids[lo:hi]]
+        c, _ = windows(self.rows[ids[near]], lo - near.start, min(hi, len(ids)) - near.start, every)
+        return c, self.outputs[ids[lo:hi:every]]
 
 
 class Network:
@@ -101,71 +112,134 @@ class Network:
             size = len(self.flat) - at if n == "emb" else int(np.prod(s))
             setattr(self, n, self.flat[at : at + size].reshape(-1, *s[1:]))
             at += size
+        self.pairs = np.arange(self.emb.size // 2).reshape(len(self.emb), -1)
 
-    def hidden(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        e = self.emb[context]
-        mean = np.einsum("npd,pd->nd", e, self.pos) / np.float32(2 * SIDE)
-        return e, mean, np.tanh(mean @ self.hid + self.hb)
+    def hidden(self, context: np.ndarray) -> np.ndarray:
+        mix = (self.pos[:, :, None] * self.hid).reshape(-1, DIM) / np.float32(2 * SIDE)
+        return np.tanh(self.emb.take(context, axis=0).reshape(len(context), -1) @ mix + self.hb)
 
     def log_prob(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log p(target | both sides) of each row."""
-        h = self.hidden(context)[2]
-        out = _log_softmax(h @ self.cls.T + self.cb)[np.arange(len(h)), target // PER_CLASS]
-        for own, k in _by_class(target // PER_CLASS):
-            rows = slice(k * PER_CLASS, (k + 1) * PER_CLASS)
-            out[own] += _log_softmax(h[own] @ self.out[rows].T + self.ob[rows])[np.arange(len(own)), target[own] % PER_CLASS]
+        out = np.empty(len(target), dtype=np.float32)
+        for at in range(0, len(target), SCORED):
+            rows = slice(at, at + SCORED)
+            c, word = np.divmod(target[rows], PER_CLASS)
+            h = self.hidden(context[rows])
+            order = np.argsort(c.astype(np.int16), kind="stable")
+            sorted_h, x = h.take(order, axis=0), np.empty((PER_CLASS, len(c)), dtype=np.float32)
+            for lo, hi, k in _runs(c[order]):
+                own = slice(k * PER_CLASS, (k + 1) * PER_CLASS)
+                x[:, lo:hi] = self.out[own] @ sorted_h[lo:hi].T + self.ob[own, None]
+            part = _log_share(self.cls @ h.T + self.cb[:, None], c)
+            part[order] += _log_share(x, word[order])
+            out[rows] = part
         return out
 
     def step(self, context: np.ndarray, target: np.ndarray, rate: float) -> None:
         """One step of gradient ascent on the mean log-probability of a batch."""
-        n, each = len(target), np.float32(rate)
-        e, mean, h = self.hidden(context)
-        c = target // PER_CLASS
-        d_class = -np.exp(_log_softmax(h @ self.cls.T + self.cb))
-        d_class[np.arange(n), c] += 1
-        d_h = d_class @ self.cls
-        own = self.out.reshape(CLASSES, PER_CLASS, DIM)[c]
-        d_word = -np.exp(_log_softmax(np.matmul(own, h[:, :, None])[:, :, 0] + self.ob.reshape(CLASSES, PER_CLASS)[c]))
-        d_word[np.arange(n), target % PER_CLASS] += 1
-        d_h += np.matmul(d_word[:, None, :], own)[:, 0]
-        d_out = np.zeros((n, CLASSES, PER_CLASS), dtype=np.float32)  # other classes than the target's get no part
-        d_out[np.arange(n), c] = d_word
-        d_out = d_out.reshape(n, -1)
-        d_pre = d_h * (1 - h * h)
-        d_mean = d_pre @ self.hid.T / np.float32(2 * SIDE)
-        whole, part = each / np.float32(n) * 4, each / 8  # rows that few windows touch take larger steps
-        d_emb = (d_mean[:, None, :] * self.pos).reshape(-1, DIM)
-        self.cls += whole * d_class.T @ h
-        self.cb += whole * d_class.sum(axis=0)
-        self.out += part * (d_out.T @ h)
-        self.ob += part * d_out.sum(axis=0)
-        self.hid += whole * mean.T @ d_pre
-        self.hb += whole * d_pre.sum(axis=0)
-        self.pos += whole * np.einsum("npd,nd->pd", e, d_mean)
-        np.add.at(self.emb.reshape(-1), (context.reshape(-1, 1) * DIM + np.arange(DIM)).ravel(), (part * d_emb).ravel())
-
-
-def _by_class(c: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
-    """(rows, class) of each class that occurs."""
-    order = np.argsort(c, kind="stable")
-    groups = c[order]
-    edges = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1], [True]]))
+        self.steps(context, target, rate, len(target))
+
+    def steps(self, context: np.ndarray, target: np.ndarray, rate: float, size: int) -> None:
+        """A step for each size windows in turn, the last one for those left over."""
+        whole = len(target) // size * size
+        for lo in range(0, whole, AHEAD * size):
+            part = slice(lo, min(lo + AHEAD * size, whole))
+            self._steps(context[part], target[part], rate, size)
+        if whole < len(target):
+            self._steps(context[whole:], target[whole:], rate, len(target) - whole)
+
+    def _steps(self, context: np.ndarray, target: np.ndarray, rate: float, n: int) -> None:
+        """Steps of n windows each, which fill them.
+
+        Windows of a step are sorted by class. A BLOCK of them touches outputs of a short range of classes, so its
+        part of the output layer's gradient is a small product; other classes than the targets' get no part."""
+        m = len(target) // n
+        t = target.reshape(m, n)
+        order = np.argsort((t // PER_CLASS).astype(np.int16), axis=1, kind="stable") + np.arange(0, m * n, n)[:, None]
+        t, contexts = target.take(order), context.take(order, axis=0).reshape(m, -1)
+        classes, block = t // PER_CLASS, np.arange(n) // BLOCK
+        wanted = np.concatenate([classes, t % PER_CLASS], axis=1) + np.arange(2 * n) * PER_CLASS
+        first = classes[:, ::BLOCK]
+        wide = classes[:, np.minimum(np.arange(BLOCK, n + BLOCK, BLOCK), n) - 1] - first + 1
+        ends = np.cumsum(wide * BLOCK, axis=1)
+        places = (ends - wide * BLOCK - first)[:, block] + wide[:, block] * (np.arange(n) % BLOCK) + classes
+
+        each = np.float32(rate)
+        whole, part, share = each / np.float32(n) * 4, each / 8, np.float32(2 * SIDE)  # rows that few windows touch take larger steps
+        # biases are a column (of the hidden layer a row) of their weights, for inputs of one
+        out = np.concatenate([self.out, self.ob[:, None]], axis=1)
+        cls = np.concatenate([self.cls, self.cb[:, None]], axis=1)
+        hid = np.concatenate([self.hid, self.hb[None]])
+        by_class, pos = out.reshape(CLASSES, PER_CLASS, DIM + 1), self.pos.reshape(-1)
+        pairs = self.emb.reshape(-1).view(np.complex64)  # two numbers at once
+        spread = np.zeros((2 * SIDE * DIM, DIM + 1), dtype=np.float32)
+        spread_flat, diagonal = spread.reshape(-1), np.arange(2 * SIDE * DIM) * (DIM + 1) + np.arange(2 * SIDE * DIM) % DIM
+        x, h, ones = np.empty((2 * n, PER_CLASS), dtype=np.float32), np.ones((n, DIM + 1), dtype=np.float32), np.ones((PER_CLASS, 1), dtype=np.float32)
+        d_class, d_word, flat = x[:n], x[n:], x.reshape(-1)
+        own, room = np.empty((n, PER_CLASS, DIM + 1), dtype=np.float32), np.empty((int(ends[:, -1].max()), PER_CLASS), dtype=np.float32)
+        for i, (stop, width, start) in enumerate(zip(ends.tolist(), wide.tolist(), first.tolist())):
+            e = self.emb.take(contexts[i], axis=0).reshape(n, -1)
+            spread_flat[diagonal] = pos / share
+            mean = np.dot(e, spread)
+            mean[:, DIM] = 1
+            a = np.dot(mean, hid)
+            h[:, :DIM] = np.tanh(a, out=a)
+            by_class.take(classes[i], axis=0, out=own, mode="clip")
+            np.dot(h, cls.T, out=d_class)
+            np.matmul(own, h[:, :, None], out=d_word[:, :, None])
+            if x.max() > LARGE or x.min() < -LARGE:
+                x -= np.maximum.reduce(x, axis=1, keepdims=True)
+            np.exp(x, out=x)
+            total = np.dot(x, ones)
+            x /= np.negative(total, out=total)
+            flat[wanted[i]] += 1
+            d_h = np.dot(d_class, cls)
+            d_h += np.matmul(d_word[:, None, :], own)[:, 0]
+            a *= a
+            d_pre = d_h[:, :DIM] * np.subtract(1, a, out=a)
+            d_mean = np.dot(d_pre, hid.T)
+            d_emb = np.dot(d_mean, spread.T)
+            d_emb *= part
+            hid += whole * np.dot(mean.T, d_pre)
+            pos += whole / share * np.dot(e.T, d_mean).take(diagonal)
+            cls += whole * np.dot(d_class.T, h)
+            np.add.at(pairs, self.pairs.take(contexts[i], axis=0).reshape(-1), d_emb.reshape(-1).view(np.complex64))
+            d_word *= part
+            z = room[: stop[-1]]
+            z[:] = 0
+            z[places[i]] = d_word
+            row = at = 0
+            for end, w, k in zip(stop, width, start):
+                size = min(BLOCK, n - row)
+                rows = out[k * PER_CLASS : (k + w) * PER_CLASS]
+                rows += np.dot(z[at : at + size * w].reshape(size, -1).T, h[row : row + size])
+                row, at = row + size, end
+        self.out[:], self.ob[:], self.cls[:], self.cb[:], self.hid[:], self.hb[:] = out[:, :DIM], out[:, DIM], cls[:, :DIM], cls[:, DIM], hid[:DIM], hid[DIM]
+
+
+def _runs(c: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(first row, end row, class) of each class of sorted ones."""
+    edges = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1], [True]])).tolist()
     for lo, hi in zip(edges[:-1], edges[1:]):
-        yield order[lo:hi], int(groups[lo])
+        yield lo, hi, int(c[lo])
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _log_share(x: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """log of the softmax of each column at the row wanted of it; x is overwritten."""
+    x -= x.max(axis=0)
+    own = x[wanted, np.arange(len(wanted))]
+    return own - np.log(np.exp(x, out=x).sum(axis=0))
 
 
-def windows(ids: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-    """Contexts and targets of the positions lo..hi; places beyond the text hold the number after the last word."""
+def windows(ids: np.ndarray, lo: int, hi: int, every: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts and targets of the positions lo..hi, or one of every so many; places beyond the text hold the number after the last word."""
     edge = np.full(SIDE, CLASSES * PER_CLASS, dtype=np.int64)
     padded = np.concatenate([edge, ids, edge])
-    at = np.arange(lo, hi)
-    offsets = np.concatenate([np.arange(SIDE), np.arange(SIDE + 1, 2 * SIDE + 1)])
-    return padded[at[:, None] + offsets], ids[lo:hi]
+    targets = ids[lo:hi:every]
+    contexts = np.empty((len(targets), 2 * SIDE), dtype=np.int64)
+    for i, offset in enumerate([*range(SIDE), *range(SIDE + 1, 2 * SIDE + 1)]):
+        contexts[:, i] = padded[lo + offset : hi + offset : every][: len(targets)]
+    return contexts, targets
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,18 +284,36 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary([w for w, _ in ranked], [n for _, n in ranked], {r[0]: (r[1], r[2]) for r in totals})
 
 
+def _numbered(vocabulary):
+    """The last column of texts becomes one of numbers of words (little-endian, 32 bits)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary.value
+        for b in batches:
+            numbers = [vocab.ids(words_of(text.as_py())).astype("<i4").tobytes() for text in b.columns[-1]]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(numbers, pa.binary())], [*b.schema.names[:-1], "numbers"])
+
+    return run
+
+
+def _ids(vocab: Vocabulary, value: pa.Scalar) -> np.ndarray:
+    """Numbers of the words of a text or, as _numbered leaves them, of its bytes."""
+    if pa.types.is_binary(value.type) or pa.types.is_large_binary(value.type):
+        return np.frombuffer(value.as_py(), dtype="<i4").astype(np.int64)
+    return vocab.ids(words_of(value.as_py()))
+
+
 def _train(vocabulary, start, round_no: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, vocab = Network(start.value.copy()), vocabulary.value
-        held_c, held_t, done, row = [], [], 0, 0
+        held_c, held_t, held, done, row = [], [], 0, 0, 0
 
         def learn(least: int) -> int:
-            nonlocal held_c, held_t
-            c, t, n = np.concatenate(held_c), np.concatenate(held_t), 0
-            while len(t) - n >= max(least, 1):
-                net.step(c[n : n + STEP], t[n : n + STEP], RATE / (1 + round_no))
-                n = min(n + STEP, len(t))
-            held_c, held_t = [c[n:]], [t[n:]]
+            nonlocal held_c, held_t, held
+            c, t = np.concatenate(held_c), np.concatenate(held_t)
+            n = len(t) // least * least
+            net.steps(c[:n], t[:n], RATE / (1 + round_no), STEP)
+            held_c, held_t, held = [c[n:]], [t[n:]], len(t) - n
             return n
 
         for b in batches:
@@ -229,13 +321,13 @@ def _train(vocabulary, start, round_no: int):
                 row += 1
                 if (row + round_no) % DOCS:
                     continue
-                ids = vocab.ids(words_of(text.as_py()))
+                ids = _ids(vocab, text)
                 for lo in range(0, len(ids), 16384):
-                    c, t = vocab.windows(ids, lo, min(lo + 16384, len(ids)))
-                    pick = slice((row + round_no - lo) % EVERY, None, EVERY)
-                    held_c.append(c[pick])
-                    held_t.append(t[pick])
-                    if sum(map(len, held_t)) >= 4 * STEP:
+                    c, t = vocab.windows(ids, lo + (row + round_no - lo) % EVERY, min(lo + 16384, len(ids)), EVERY)
+                    held_c.append(c)
+                    held_t.append(t)
+                    held += len(t)
+                    if held >= AHEAD * STEP:
                         done += learn(STEP)
         if held_t:
             done += learn(1)
@@ -261,20 +353,28 @@ def train(docs: DataFrame, *, text_col: str = "text", rounds: int = ROUNDS) -> t
     The driver receives the table of words and one averaged network; counts and copies of the network are
     combined on the executors.
     """
-    sc = docs.sparkSession.sparkContext
-    text = docs.select(F.col(text_col).cast("string").alias("text")).where("text is not null")
-    counts = text.mapInArrow(_count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    vocab, net = vocabulary(Scratch(docs.sparkSession, "lm").cut(counts, "counts")), Network()
+    return _fit(docs.select(F.col(text_col).cast("string").alias("text")), rounds)[:2]
+
+
+def _fit(rows: DataFrame, rounds: int = ROUNDS) -> tuple[Vocabulary, Network, DataFrame]:
+    """Vocabulary and network from the last column of rows, and rows with numbers of words in its place."""
+    sc, scratch = rows.sparkSession.sparkContext, Scratch(rows.sparkSession, "lm")
+    text = rows.select("text").where("text is not null")
+    counts = scratch.cut(text.mapInArrow(_count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    vocab, net = vocabulary(counts), Network()
+    scratch.drop(counts)
     more = vocab.rows[Network.SHAPES["emb"][0] :][:CONTEXT]
     net = Network(np.concatenate([net.flat, net.emb[vocab.outputs[more]].ravel()]))  # from the row of the shared output
     shared = sc.broadcast(vocab)
+    kept = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in rows.schema.fields[:-1])
+    numbered = scratch.cut(rows.mapInArrow(_numbered(shared), f"{kept}numbers binary"), "numbers")
     for r in range(rounds):
         start = sc.broadcast(net.flat)
-        copies = text.mapInArrow(_train(shared, start, r), "part int, weight double, data binary")
+        copies = numbered.select("numbers").mapInArrow(_train(shared, start, r), "part int, weight double, data binary")
         parts = copies.groupBy("part").applyInPandas(_average, "part int, data binary").orderBy("part").collect()
         if parts:
             net = Network(np.concatenate([np.frombuffer(p["data"], dtype="<f4") for p in parts]))
-    return vocab, net
+    return vocab, net, numbered
 
 
 def _score(vocabulary, weights):
@@ -293,7 +393,7 @@ def _score(vocabulary, weights):
 
             size = 0
             for i, text in enumerate(b.column(1)):
-                ids = vocab.ids(words_of(text.as_py()))
+                ids = _ids(vocab, text)
                 n[i] = len(ids)
                 total[i] = vocab.inside[ids].sum()
                 for lo in range(0, len(ids), 16384):
@@ -318,8 +418,8 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", mo
     rounding; an empty table gives no rows.
     """
     sc = docs.sparkSession.sparkContext
-    vocab, net = model or train(docs, text_col=text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    vocab, net, rows = (*model, rows) if model else _fit(rows)
     out = rows.mapInArrow(_score(sc.broadcast(vocab), sc.broadcast(net.flat)), f"id {rows.schema['id'].dataType.simpleString()}, n_tokens bigint, pll double")
     mean = F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens"))
     return out.select(F.col("id").alias(id_col), "n_tokens", "pll", mean.alias("pll_per_token"), F.exp(-mean).alias("perplexity"))

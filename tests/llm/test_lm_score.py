@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pyarrow as pa
 
@@ -110,3 +112,92 @@ def test_words_beyond_the_table_share_the_rest(spark, monkeypatch):
     for k in range(768, 1024):
         unseen = np.exp(vocab.inside[k])
         assert abs(inside[k] + unseen - 1) < 1e-9
+
+
+def plain_step(net, context, target, rate):
+    """A step by its formulas, all outputs at once."""
+    n, size = len(target), lm.PER_CLASS
+
+    def softmax(x):
+        x = np.exp(x - x.max(axis=1, keepdims=True))
+        return x / x.sum(axis=1, keepdims=True)
+
+    e = net.emb[context]
+    mean = np.einsum("npd,pd->nd", e, net.pos) / np.float32(2 * lm.SIDE)
+    h = np.tanh(mean @ net.hid + net.hb)
+    c, at = target // size, np.arange(n)
+    own = net.out.reshape(lm.CLASSES, size, lm.DIM)[c]
+    d_class = -softmax(h @ net.cls.T + net.cb)
+    d_class[at, c] += 1
+    d_word = -softmax(np.matmul(own, h[:, :, None])[:, :, 0] + net.ob.reshape(lm.CLASSES, size)[c])
+    d_word[at, target % size] += 1
+    d_pre = (d_class @ net.cls + np.matmul(d_word[:, None, :], own)[:, 0]) * (1 - h * h)
+    d_mean = d_pre @ net.hid.T / np.float32(2 * lm.SIDE)
+    d_out = np.zeros((n, lm.CLASSES, size), dtype=np.float32)
+    d_out[at, c] = d_word
+    d_out = d_out.reshape(n, -1)
+    whole, part = np.float32(rate) / np.float32(n) * 4, np.float32(rate) / 8
+    d_emb = d_mean[:, None, :] * net.pos
+    net.cls += whole * d_class.T @ h
+    net.cb += whole * d_class.sum(axis=0)
+    net.out += part * (d_out.T @ h)
+    net.ob += part * d_out.sum(axis=0)
+    net.hid += whole * mean.T @ d_pre
+    net.hb += whole * d_pre.sum(axis=0)
+    net.pos += whole * np.einsum("npd,nd->pd", e, d_mean)
+    np.add.at(net.emb.reshape(-1), (context.reshape(-1, 1) * lm.DIM + np.arange(lm.DIM)).ravel(), (part * d_emb).ravel())
+
+
+def some_windows(n):
+    rng = np.random.default_rng(3)
+    size = lm.CLASSES * lm.PER_CLASS
+    target = np.where(rng.random(n) < 0.4, rng.geometric(0.02, n) % size, rng.integers(768, size, n))
+    return rng.integers(0, size + 1, (n, 2 * lm.SIDE)), target
+
+
+def test_steps_are_those_of_the_formulas():
+    context, target = some_windows(64 * 70 + 5)
+    for scale, n in ((1, 1), (1, 37), (1, 64 * 10 + 5), (60, 64 * 2 + 17)):  # the last with powers of e beyond the range
+        start = lm.Network().flat * np.float32(scale)
+        fast, plain = lm.Network(start.copy()), lm.Network(start.copy())
+        fast.steps(context[:n], target[:n], 0.5, 64)
+        for i in range(0, n, 64):
+            plain_step(plain, context[i : min(i + 64, n)], target[i : min(i + 64, n)], 0.5)
+        assert np.abs(plain.flat - start).max() > 0.01
+        assert np.abs(fast.flat - plain.flat).max() < 1e-5 * scale * scale
+    # more than are prepared at once: each part goes on from the one before
+    fast, parts = lm.Network(), lm.Network()
+    fast.steps(context, target, 0.1, 64)
+    for i in range(0, len(target), 640):
+        parts.steps(context[i : i + 640], target[i : i + 640], 0.1, 64)
+    assert np.abs(fast.flat - parts.flat).max() < 1e-3
+
+
+def test_steps_take_less_time_than_the_plain_formulas():
+    context, target = some_windows(64 * 200)
+    fast, plain, times = lm.Network(), lm.Network(), []
+    for _ in range(7):
+        began = time.process_time()
+        fast.steps(context, target, 0.01, 64)
+        between = time.process_time()
+        for i in range(0, len(target), 64):
+            plain_step(plain, context[i : i + 64], target[i : i + 64], 0.01)
+        times.append((between - began, time.process_time() - between))
+    best = np.min(times, axis=0)
+    assert best[0] < 0.85 * best[1]
+
+
+def test_numbers_of_words_stand_for_texts():
+    texts = [text(i, 30) for i in range(9)] + [None, "", "x " * 20_000 + "unseen", "\u0130 \x1c\u03a3"]
+    vocab = lm.Vocabulary(sorted({w for t in texts[:11] for w in lm.words_of(t)}))
+    ids = pa.array(range(len(texts)), pa.int64())
+    of_texts = pa.RecordBatch.from_arrays([ids, pa.array(texts, pa.string())], ["id", "text"])
+    (of_numbers,) = lm._numbered(Held(vocab))([of_texts])
+    assert of_numbers.schema.names == ["id", "numbers"] and of_numbers.column(0) == ids
+    for t, b in zip(texts, of_numbers.column(1)):
+        assert np.frombuffer(b.as_py(), dtype="<i4").tolist() == vocab.ids(lm.words_of(t)).tolist()
+    flat = lm.Network().flat
+    (a,), (b,) = (list(lm._score(Held(vocab), Held(flat))([x])) for x in (of_texts, of_numbers))
+    assert a.equals(b) and a.column(1).to_pylist() == [len(lm.words_of(t)) for t in texts]
+    a, b = ([p["data"].to_pylist() for p in lm._train(Held(vocab), Held(flat), 1)([x.select([x.schema.names[1]])])] for x in (of_texts, of_numbers))
+    assert a == b
