@@ -273,3 +273,20 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r.id for r in spark.sql("select id from kept").collect()) == ["v1", "v4"]
+
+
+@pytest.mark.parametrize("kind", ["plain", "gzip", "bgzf"])
+def test_writers_keep_rows_off_the_driver(spark, tmp_path, monkeypatch, kind):
+    df = spark.range(0, 30_000, 1, 6).selectExpr("30000 - id as ord", "concat('line ', 30000 - id) as line")
+    monkeypatch.setattr(type(df), "toLocalIterator", lambda *a, **k: pytest.fail("rows fetched"))
+    path = tmp_path / "x.gz"
+    sinks.write_vcf(df, ["#a", "#b"], str(path), kind)
+    want = "".join(f"{x}\n" for x in ["#a", "#b", *(f"line {i}" for i in range(1, 30_001))]).encode()
+    data = path.read_bytes()
+    assert (data if kind == "plain" else gzip.decompress(data)) == want
+    assert (data[-28:] == sinks.BlockGzipWriter._END) == (kind == "bgzf") and data.count(sinks.BlockGzipWriter._END) == (kind == "bgzf")
+    sinks.write_vcf(df.where("ord < 0"), ["#a"], str(path), kind)
+    assert (path.read_bytes() if kind == "plain" else gzip.decompress(path.read_bytes())) == b"#a\n"
+    sinks.write_tsv(df.where("ord < 3"), str(tmp_path / "t"), "plain")
+    assert (tmp_path / "t").read_text() == "line\nline 1\nline 2\n"
+    assert [p.name for p in tmp_path.iterdir() if "parts" in p.name] == []
