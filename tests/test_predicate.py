@@ -51,3 +51,20 @@ def test_binding():
 def test_required_fields():
     need = p.required(p.parse('POS < 90 && (INFO/KIND == "x" || N_PASS(FORMAT/RD[0] > 2) > 1) && AF > 0.1'))
     assert need == {"chrom": False, "pos": True, "qual": False, "filter": False, "info": ["AF", "KIND"], "format": ["RD"]}
+
+
+def test_comparisons_and_numbers_at_the_edges(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    from locusframe.functions import variant as v
+    from locusframe.plans import predicate as p
+
+    texts = ["1", "+.5", "1e3", "-2", "nan", "NaN", "inf", "-Infinity", "", ".", "x", "1x", "0x1", " 1", None, "20", "1d"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    want = [None if t is None or not p.re.search(v.NUMBER, t) else float(t) for t in texts]
+    for op in ("==", "!=", ">", ">=", "<", "<="):
+        for x in (0.0, 1.0, 20.0, math.inf):
+            got = [r[0] for r in df.select(p.compare(v.number(F.col("t")), op, x)).collect()]
+            assert got == [w is not None and p._COMPARE[op](w, x) for w in want], (op, x)

@@ -290,3 +290,12 @@ def test_writers_keep_rows_off_the_driver(spark, tmp_path, monkeypatch, kind):
     sinks.write_tsv(df.where("ord < 3"), str(tmp_path / "t"), "plain")
     assert (tmp_path / "t").read_text() == "line\nline 1\nline 2\n"
     assert [p.name for p in tmp_path.iterdir() if "parts" in p.name] == []
+
+
+def test_filters_stay_above_the_dealing_of_rows(spark, tmp_path):
+    from locusframe import queries as q
+
+    spark.range(0, 500, 1, 1).selectExpr("id as p_partkey", "cast(id % 50 + 1 as int) as p_size").write.parquet(str(tmp_path / "part.parquet"))
+    for name in ("filter_qual_pass", "filter_format_sample", "filter_npass", "filter_any", "filter_all", "tajima_d", "fst_wc"):
+        plan = q.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert "Repartition" in plan and all(" Filter" not in part.split("Relation")[0] for part in plan.split("Repartition")[1:]), name
