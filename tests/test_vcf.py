@@ -299,3 +299,14 @@ def test_filters_stay_above_the_dealing_of_rows(spark, tmp_path):
     for name in ("filter_qual_pass", "filter_format_sample", "filter_npass", "filter_any", "filter_all", "tajima_d", "fst_wc"):
         plan = q.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
         assert "Repartition" in plan and all(" Filter" not in part.split("Relation")[0] for part in plan.split("Repartition")[1:]), name
+
+
+def test_parquet_export_bounds_the_rows_of_a_task(spark, tmp_path):
+    df = spark.range(0, 40_000, 1, 2).selectExpr("concat('chr', id % 3) as CHROM", "40000 - id as POS", "id")
+    sinks.write_parquet(df, str(tmp_path / "p"), rows=5_000)
+    out = spark.read.parquet(str(tmp_path / "p"))
+    files = [f for f in (tmp_path / "p").iterdir() if f.suffix == ".parquet"]
+    assert sorted(r["id"] for r in out.collect()) == list(range(40_000)) and len(files) == 8
+    for f in files:
+        keys = [(r["CHROM"], r["POS"]) for r in spark.read.parquet(str(f)).coalesce(1).collect()]
+        assert keys == sorted(keys) and len(keys) < 6_000
