@@ -255,3 +255,26 @@ def test_selection():
     assert popgen.selection(NAMES, ["N3", "N0"], ["N0"]) == [3]
     with pytest.raises(popgen.PopulationError, match="Q"):
         popgen.selection(NAMES, ["Q"])
+
+
+def test_ld_sums_of_many_samples_and_high_dosages(spark):
+    rng = random.Random(5)
+    calls = ["0/0", "0/1", "1/1", "./.", "1", "0", "0/2", "1/1/1", "0/1/1/1"]
+    made = []
+    for i, n in enumerate([150, 150, 149, 40, 40, 63, 64, 0, 1, 150]):
+        some = calls if i % 3 == 0 else calls[:5]
+        made.append((i, "1", 10 * i, "A", "C", "GT", [rng.choice(some) for _ in range(n)]))
+    df = spark.createDataFrame(made, "ord bigint, chrom string, pos bigint, ref string, alt string, format string, samples array<string>")
+    dosage = lambda t: None if "." in t or "2" in t else t.count("1")
+    want = []
+    for o, _, p, *_, x in made:
+        for o2, _, p2, *_, y in made[o + 1 :]:
+            both = [(a, b) for a, b in zip(map(dosage, x), map(dosage, y)) if a is not None and b is not None]
+            n, l, r, ll, rr, lr = len(both), *(sum(z) for z in ([a for a, _ in both], [b for _, b in both], [a * a for a, _ in both], [b * b for _, b in both], [a * b for a, b in both]))
+            if n >= 2 and p2 - p <= 50 and (n * ll - l * l) * (n * rr - r * r) > 0:
+                want.append((o, o2, n, (n * lr - l * r) ** 2 / ((n * ll - l * l) * (n * rr - r * r))))
+    for most in (50, None):
+        near([t for t in rows(popgen.ld(df, most), "ord1", "ord2", "n_indv", "r2") if t[1] - t[0] <= 5], want)
+    found = popgen.ld(df, 50)
+    found.collect()
+    assert "Reused" in found._jdf.queryExecution().executedPlan().toString()
